@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,3 +42,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def context(spark: SparkSession) -> SparkContext:
     return spark.sparkContext
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and broadcasts that no plan refers to any more, which it does when objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
