@@ -14,6 +14,7 @@ Writing into JSON at any path is Arrow-batched Python; all else stays in the JVM
 
 from __future__ import annotations
 
+import ipaddress
 import json
 from collections.abc import Callable
 
@@ -266,8 +267,7 @@ class Compiler:
         if found is None:
             return df
         key, got = self._name("key"), self._name("got")
-        names = found.columns
-        rows = found.select(F.col(names[0]).alias(key), F.col(names[1]).alias(got)).dropDuplicates([key])
+        rows = found.toDF(key, got).dropDuplicates([key])
         df = df.join(rows, (find(source_key(config)).text == F.col(key)) & guard, "left")
         target = target_key(config) or source_key(config) + suffix
         return self._set(df, guard, target, F.when(F.col(got).isNotNull(), value(F.col(got)))).drop(key, got)
@@ -352,19 +352,20 @@ class Compiler:
         return self._send(df, guard, "http_post", {"url": s["url"], "headers": s.get("headers") or {}, "timeout": s.get("timeout", "")}, F.col("data"))
 
 
-@F.pandas_udf("string")
-def _geo_v6(s: pd.Series) -> pd.Series:
-    import ipaddress
+def _geo_v6(address: Column) -> Column:
+    @F.pandas_udf("string")
+    def flags(s: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                ip = ipaddress.ip_address(x)
+            except ValueError:
+                return None
+            unicast = not (ip.is_loopback or ip.is_multicast or ip.is_link_local or ip.is_unspecified)
+            return _dump({"is_global": unicast, "is_loopback": ip.is_loopback, "is_private": False})
 
-    def one(x):
-        try:
-            ip = ipaddress.ip_address(x)
-        except ValueError:
-            return None
-        unicast = not (ip.is_loopback or ip.is_multicast or ip.is_link_local or ip.is_unspecified)
-        return _dump({"is_global": unicast, "is_loopback": ip.is_loopback, "is_private": False})
+        return s.map(lambda x: None if x is None else one(x))
 
-    return s.map(lambda x: None if x is None else one(x))
+    return flags(address)
 
 
 TYPES = tuple(sorted(n[3:] for n in dir(Compiler) if n.startswith("tf_")))
