@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.rules.model import Event
@@ -29,13 +29,44 @@ CLOUD = {
     "hostNetwork": "protoPayload.request.spec.hostNetwork", "hostPID": "protoPayload.request.spec.hostPID", "webhooks": "protoPayload.request.webhooks", "serviceType": "protoPayload.request.spec.type",
 }
 KEYS = tuple(NATIVE)
+#: The column of the unified view.
+COLUMN = "_k8s"
+_VARIANTS = ("annotations", "responseStatus", "requestObject", "responseObject", "containers", "volumes", "webhooks", "hostIPC", "hostNetwork", "hostPID")
+_TEXTS = tuple(k for k in KEYS if k not in (*_VARIANTS, "sourceIPs"))
+
+
+def once(c: Column) -> Column:
+    """c, worked out once per row: a generator keeps the optimizer from writing it out where it is used."""
+    return F.explode(F.array(c))
 
 
 class K8s:
-    """The unified keys of a record as columns. Text keys are null where empty or missing."""
+    """The unified keys of a record as columns. Text keys are null where empty or missing.
+
+    With ``view``, a column made by ``unified``, keys and tests are read from there.
+    """
 
-    def __init__(self, e: Event):
+    def __init__(self, e: Event, view: Column | None = None):
         self.e = e
+        self.view = view
+        if view is not None:
+            # tests that many rules share, worked out in the view
+            for name in ("code", "failed", "by_system", "in_system", "pod", "is_log", "ips", "is_cloud", "is_native", "command"):
+                self.__dict__[name] = view[name]
+
+    @classmethod
+    def unified(cls, events: DataFrame, payload: str = "payload", log_type: str = "log_type") -> DataFrame:
+        """events with the unified view, in two steps: the keys, then what is derived from them."""
+        k = cls(Event(F.col(payload), F.col(log_type)))
+        keys = F.struct(*(k.text(n).alias(n) for n in _TEXTS), *(k.variant(n).alias(n) for n in _VARIANTS), k.ips.alias("ips"), k.is_cloud.alias("is_cloud"), k.is_native.alias("is_native"), k.is_log.alias("is_log"))
+        first = events.withColumn("_keys", once(keys))
+        k = cls(Event(F.col(payload), F.col(log_type)))
+        view = F.col("_keys")
+        k.view = view
+        k.__dict__.update({n: view[n] for n in ("ips", "is_cloud", "is_native", "is_log")})
+        derived = {n: getattr(k, n) for n in ("code", "failed", "by_system", "in_system", "pod", "command")}
+        whole = F.struct(*(view[n].alias(n) for n in (*_TEXTS, *_VARIANTS, "ips", "is_cloud", "is_native", "is_log")), *(c.alias(n) for n, c in derived.items()))
+        return first.withColumn(COLUMN, once(whole)).drop("_keys")
 
     @cached_property
     def is_cloud(self) -> Column:
@@ -82,11 +113,15 @@ class K8s:
         return e.s(CLOUD[key])
 
     def text(self, key: str, default: str | None = None) -> Column:
+        if self.view is not None and key in _TEXTS:
+            return self.view[key] if default is None else F.coalesce(self.view[key], F.lit(default))
         native = F.when(self.is_native, self.e.s(NATIVE[key]))
         found = F.nullif(F.when(self.is_cloud, self._cloud_text(key)).otherwise(native), F.lit(""))
         return found if default is None else F.coalesce(found, F.lit(default))
 
     def variant(self, key: str) -> Column:
+        if self.view is not None and key in _VARIANTS:
+            return self.view[key]
         return F.when(self.is_cloud, self.e.variant(CLOUD[key])).when(self.is_native, self.e.variant(NATIVE[key]))
 
     def under(self, key: str) -> Event:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.rules.model import Event, FirstSeen, Rule, Threshold
-from vigilake.rules.registry import PACKS, log_types, rules_of
+from vigilake.rules.registry import PACKS, log_types, prepared, rules_of
 
 from .classify import infer_log_type, with_payload
 from .stateful import event_time, first_seen, micros, thresholds_crossed
@@ -50,9 +50,9 @@ class RuleSet:
         self.own.append((make, types))
         return self
 
-    def build(self, payload: Column, log_type: Column) -> list[tuple[list[Rule], tuple[str, ...] | None]]:
+    def build(self, payload: Column, log_type: Column, packs: list[str] | None = None) -> list[tuple[list[Rule], tuple[str, ...] | None]]:
         own_log_type = log_type if self.mode == "intended" else None
-        found = [(rules_of(p, payload, own_log_type, self.mode, **self.options.get(p, {})), log_types(p, self.mode)) for p in self.packs]
+        found = [(rules_of(p, payload, own_log_type, self.mode, **self.options.get(p, {})), log_types(p, self.mode)) for p in (self.packs if packs is None else packs)]
         return found + [(make(Event(payload, log_type)), types) for make, types in self.own]
 
 
@@ -72,7 +72,9 @@ def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ..
         events = events.withColumn("log_type", infer_log_type(F.col("payload")))
     if only:
         events = events.where(F.col("log_type").isin(*only))
-    built = [(rs, types) for rs, types in rules.build(F.col("payload"), F.col("log_type")) if rs and (only is None or types is None or set(types) & set(only))]
+    packs = [p for p in rules.packs if only is None or set(log_types(p, rules.mode)) & set(only)]
+    events = prepared(events, packs)
+    built = [(rs, types) for rs, types in rules.build(F.col("payload"), F.col("log_type"), packs) if rs and (only is None or types is None or set(types) & set(only))]
     none = F.array().cast(f"array<{_HIT}>")
     parts = {}
     for i, (rs, types) in enumerate(built):
@@ -98,6 +100,7 @@ def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ..
         found = reduce(lambda a, b: a.unionByName(b), parts_)
     matches = found.drop("_at", "state")
 
+    events = events.drop("_k8s", "_common")
     spark = events.sparkSession
     by_rule = [(r.rule_id, t) for rs, types in built for r in rs for t in (types or (None,))]
     index = spark.createDataFrame(by_rule or [("", "")], "rule_id string, t string").where("rule_id <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vigilake.functions import net
-from vigilake.functions.k8s import SYSTEM_NAMESPACES, K8s, is_sensitive_path
+from vigilake.functions.k8s import COLUMN, SYSTEM_NAMESPACES, K8s, is_sensitive_path
 from vigilake.functions.text import any_of
 
 from .model import Event, Rule
@@ -31,7 +31,8 @@ def _has(items: Column, *values: str) -> Column:
 
 
 def kubernetes(e: Event, v6: bool = False) -> list[Rule]:
-    k = K8s(e)
+    """The unified view stands in the column that ``registry.prepared`` adds."""
+    k = K8s(e, F.col(COLUMN))
     obj = k.under("requestObject")
     ok = ~k.failed
     create, role = k.eq("verb", "create"), k.eq("resource", "roles", "clusterroles")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.k8s import COLUMN, K8s, once
+
 from . import aws, code_hosting, gcp, kubernetes, services
 from .model import Event, Rule
 
@@ -33,6 +35,8 @@ PACKS: dict[str, tuple[Callable[..., list[Rule]], tuple[str, ...]]] = {
 #: What "intended" mode changes: where the packs' fields really are.
 INTENDED_TYPES = {"aws_s3": ("AWS.S3ServerAccess",), "kubernetes": ("Amazon.EKS.Audit", "GCP.AuditLog")}
 INTENDED_OPTIONS = {"aws_s3": {"intended": True}, "github_webhook": {"intended": True}}
+#: Packs whose rules share values that are worked out once, and their column.
+SHARING, SHARED, COMMON = ("aws_cloudtrail", "okta"), ("actor", "succeeded", "account"), "_common"
 #: Rules that cannot be loaded in "reference" mode.
 REFERENCE_BROKEN = ("aws_iam_high_risk_action", "aws_iam_privilege_escalation", "aws_iam_resource_exposure")
 
@@ -45,8 +49,21 @@ def packs_for(log_type: str, mode: str = "reference") -> list[str]:
     return [p for p in PACKS if log_type in log_types(p, mode)]
 
 
+def prepared(events: DataFrame, packs: list[str]) -> DataFrame:
+    """events with what many rules of the packs read: worked out once per event and not once per rule."""
+    if "kubernetes" in packs and COLUMN not in events.columns:
+        events = K8s.unified(events)
+    if set(SHARING) & set(packs) and COMMON not in events.columns:
+        e = Event(F.col("payload"))
+        events = events.withColumn(COMMON, once(F.struct(*(getattr(e, n).alias(n) for n in SHARED))))
+    return events
+
+
 def rules_of(pack: str, payload: Column, log_type: Column | None = None, mode: str = "reference", **options) -> list[Rule]:
-    found = PACKS[pack][0](Event(payload, log_type), **(INTENDED_OPTIONS.get(pack, {}) if mode == "intended" else {}) | options)
+    e = Event(payload, log_type)
+    if pack in SHARING:
+        e.__dict__.update({n: F.col(COMMON)[n] for n in SHARED})
+    found = PACKS[pack][0](e, **(INTENDED_OPTIONS.get(pack, {}) if mode == "intended" else {}) | options)
     return [r for r in found if r.rule_id not in REFERENCE_BROKEN] if mode == "reference" else found
 
 

@@ -37,7 +37,7 @@ def read_auto(spark: SparkSession, *paths: str, head: int = 1024) -> DataFrame:
     Reads the files' first lines once to decide, and each file in one way.
     """
     first = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
-    opening = first.where(F.trim("value") != "").groupBy("file").agg(F.min_by(F.substring("value", 1, head), F.monotonically_increasing_id()).alias("line"))
+    opening = first.where(F.trim("value") != "").groupBy("file").agg(F.first(F.substring("value", 1, head)).alias("line"))
     trimmed = F.trim("line")
     many = opening.where((F.startswith(trimmed, F.lit("[")) | F.startswith(trimmed, F.lit("{"))) & (F.length("line") < head) & F.try_parse_json("line").isNull())
     documents = [r.file for r in many.collect()]  # file names, not their content
