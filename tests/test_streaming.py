@@ -1,12 +1,13 @@
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from vigilake.operators.dsl import cnd, tf
 from vigilake.operators.pipeline import Pipeline
-from vigilake.plans import modes
 from vigilake.operators.detect import RuleSet
+from vigilake.plans import modes
 from vigilake.sources import files, tail
 from vigilake.streaming import stateful
 
@@ -17,6 +18,7 @@ def batches(spark, tmp_path, parts, schema):
         path = tmp_path / f"in/{i:03}.json"
         path.parent.mkdir(exist_ok=True)
         path.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
 
 
