@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .repeats import Units, later_occurrences, rewritten, with_repeats
 from .textops import SPACED, span_hashes, texts_of
 
-LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 3, 80
+LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 2, 80
 
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
