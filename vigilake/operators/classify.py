@@ -14,7 +14,7 @@ from vigilake.functions.ids import row_id
 from vigilake.functions.paths import at
 from vigilake.schema import IDENTITY, RESOURCES, TEXT_FIELDS
 
-from .parsers import BY_TYPE, PARSERS, VPC_DEFAULT_HEADER, Record, is_vpc_header
+from .parsers import BY_TYPE, PARSERS, VPC_DEFAULT_HEADER, Record, fields_of, is_vpc_header
 
 UNCLASSIFIED = "unclassified"
 
@@ -23,20 +23,35 @@ UNWRAPPED = ("Okta.SystemLog", "OnePassword.SignInAttempt", "AWS.BedrockModelInv
 UNWRAPPED_INTENDED = (*UNWRAPPED, "GSuite.Reports", "AWS.VPCFlow", "AWS.ALB", "AWS.S3ServerAccess", "AWS.AuroraMySQLAudit")
 
 
-def log_type_of(r: Record, hint: Column | None = None) -> Column:
+def _once(c: Column) -> Column:
+    """c, worked out once per row: a generator keeps the optimizer from writing it out where it is used."""
+    return F.explode(F.array(c))
+
+
+def _opened(lines: DataFrame, raw: str, header: Column | None) -> tuple[DataFrame, Record]:
+    """lines with _json, and with _cells, the fields of what is no JSON; and the record over them."""
+    r = F.col(raw)
+    parsed = lines.withColumn("_json", _once(F.try_parse_json(r)))
+    # a line that begins with a number parses as JSON up to there
+    text = ~F.coalesce(F.startswith(F.schema_of_variant(F.col("_json")), F.lit("OBJECT")), F.lit(False))
+    cells = F.struct(F.when(text, fields_of(r, " ")).alias("spaced"), F.when(text, fields_of(r, ",")).alias("commaed"))
+    return parsed.withColumn("_cells", _once(cells)), Record(r, F.col("_json"), header, F.col("_cells.spaced"), F.col("_cells.commaed"))
+
+
+def accepted(r: Record) -> Column:
+    """For each parser, in order, whether it takes the record."""
     is_json = r.json.isNotNull() & F.startswith(F.schema_of_variant(r.json), F.lit("OBJECT"))
-    accepts = {p.log_type: F.coalesce(p.accept(r), F.lit(False)) & (is_json if p.json else ~is_json) for p in PARSERS}
-    own = at(r.json, "p_log_type")
-    out = None
-    for name, ok in accepts.items():
-        test = is_json & (own == name) & ok
-        out = F.when(test, name) if out is None else out.when(test, name)
+    return F.array(*(F.coalesce((is_json if p.json else ~is_json) & p.accept(r), F.lit(False)) for p in PARSERS))
+
+
+def log_type_of(accepts: Column, own: Column, hint: Column | None = None) -> Column:
+    """A record's own type, the hint, then the first parser that takes it."""
+    names = F.array(*(F.lit(p.log_type) for p in PARSERS))
+    taken = F.array_compact(F.zip_with(names, accepts, lambda n, ok: F.when(ok, n)))
+    told = F.when(F.array_contains(taken, own), own)
     if hint is not None:
-        for name, ok in accepts.items():
-            out = out.when((hint == name) & ok, name)
-    for name, ok in accepts.items():
-        out = out.when(ok, name)
-    return out
+        told = F.coalesce(told, F.when(F.array_contains(taken, hint), hint))
+    return F.coalesce(told, F.get(taken, F.lit(0)))
 
 
 def with_headers(lines: DataFrame, file: str, raw: str = "raw", header: str = "header") -> DataFrame:
@@ -51,10 +66,10 @@ def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header
     Records that no parser accepts, flow-log headers and blank lines have no
     log type; they are left out unless ``keep_unclassified``.
     """
-    parsed = lines.where(F.trim(F.col(raw)) != "").withColumn("_json", F.try_parse_json(raw))
-    head = F.coalesce(F.col(header), F.lit(VPC_DEFAULT_HEADER)) if header else F.lit(VPC_DEFAULT_HEADER)
-    r = Record(F.col(raw), F.col("_json"), head)
-    typed = parsed.withColumn("log_type", log_type_of(r, F.col(hint) if hint else None))
+    head = F.coalesce(F.col(header), F.lit(VPC_DEFAULT_HEADER)) if header else None
+    parsed, r = _opened(lines.where(F.trim(F.col(raw)) != ""), raw, head)
+    typed = parsed.withColumn("_accepts", _once(accepted(r)))
+    typed = typed.withColumn("log_type", _once(log_type_of(F.col("_accepts"), at(F.col("_json"), "p_log_type"), F.col(hint) if hint else None))).drop("_accepts")
     typed = typed.withColumn("log_type", F.coalesce("log_type", F.lit(UNCLASSIFIED))) if keep_unclassified else typed.where("log_type is not null")
     fields = {p.log_type: p.fields(r) for p in PARSERS}
     kinds = {n: "string" for n in TEXT_FIELDS} | {"eventTime": "timestamp", "userIdentity": IDENTITY, "requestParameters": "variant", "responseElements": "variant", "resources": RESOURCES}
@@ -68,7 +83,7 @@ def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header
                 value = F.when(test, own[name]) if value is None else value.when(test, own[name])
         value = default if value is None else value.otherwise(default)
         columns[name] = F.coalesce(value, F.lit("")) if kind == "string" else value
-    return typed.withColumns(columns).withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw")
+    return typed.withColumns(columns).withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw").drop("_cells")
 
 
 def envelope_variant() -> Column:
@@ -130,6 +145,5 @@ def classifier_stats(lines: DataFrame, raw: str = "raw", **options) -> DataFrame
 def parse_as(lines: DataFrame, log_type: str, raw: str = "raw") -> DataFrame:
     """Records of one known format only: a plan with that parser alone."""
     p = BY_TYPE[log_type]
-    parsed = lines.withColumn("_json", F.try_parse_json(raw))
-    r = Record(F.col(raw), F.col("_json"), F.lit(VPC_DEFAULT_HEADER))
-    return parsed.where(F.coalesce(p.accept(r), F.lit(False))).withColumns(p.fields(r)).withColumn("log_type", F.lit(log_type)).withColumnRenamed("_json", "_raw")
+    parsed, r = _opened(lines, raw, None)
+    return parsed.where(F.coalesce(p.accept(r), F.lit(False))).withColumns(p.fields(r)).withColumn("log_type", F.lit(log_type)).withColumnRenamed("_json", "_raw").drop("_cells")

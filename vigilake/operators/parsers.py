@@ -34,11 +34,13 @@ AURORA_COLUMNS = 9
 
 @dataclass(frozen=True)
 class Record:
-    """A raw record: its text, its JSON if it is any, and the flow-log header in force."""
+    """A raw record: its text, its JSON if it is any, else its fields by space and by comma, and the flow-log header in force (None: the default)."""
 
     raw: Column
     json: Column
-    header: Column
+    header: Column | None
+    spaced: Column
+    commaed: Column
 
     def text(self, path: str) -> Column:
         """The value at a path if it is a JSON string."""
@@ -130,7 +132,7 @@ def _cloudtrail(r: Record) -> dict[str, Column]:
 
 
 def _access_cells(r: Record) -> Column:
-    return fields_of(r.raw, " ")
+    return r.spaced
 
 
 def _s3_time(cells: Column) -> Column:
@@ -164,12 +166,16 @@ def is_vpc_header(raw: Column) -> Column:
 
 
 def _vpc_cell(r: Record, name: str) -> Column:
+    if r.header is None:
+        names = VPC_DEFAULT_HEADER.split(" ")
+        return blank_to_null(F.get(r.spaced, F.lit(names.index(name)))) if name in names else F.lit(None).cast("string")
     place = F.array_position(F.transform(F.split(r.header, " "), F.trim), name)
-    return F.when(place > 0, blank_to_null(F.get(fields_of(r.raw, " "), place.cast("int") - 1)))
+    return F.when(place > 0, blank_to_null(F.get(r.spaced, place.cast("int") - 1)))
 
 
 def _vpc_accept(r: Record) -> Column:
-    return looks_like_csv(r.raw) & ~is_vpc_header(r.raw) & _vpc_cell(r, "start").rlike(r"^\d{1,12}$") & (F.size(fields_of(r.raw, " ")) == F.size(F.split(r.header, " ")))
+    width = F.lit(len(VPC_DEFAULT_HEADER.split(" "))) if r.header is None else F.size(F.split(r.header, " "))
+    return looks_like_csv(r.raw) & (F.size(r.spaced) == width) & _vpc_cell(r, "start").rlike(r"^\d{1,12}$") & ~is_vpc_header(r.raw)
 
 
 def _vpc(r: Record) -> dict[str, Column]:
@@ -223,12 +229,12 @@ def _alb(r: Record) -> dict[str, Column]:
 
 
 def _aurora_accept(r: Record) -> Column:
-    cells = fields_of(r.raw, ",")
+    cells = r.commaed
     return (F.size(cells) >= AURORA_COLUMNS) & F.coalesce(F.get(cells, F.lit(0)).rlike(r"^[+-]?\d{1,18}$"), F.lit(False))
 
 
 def _aurora(r: Record) -> dict[str, Column]:
-    cells = fields_of(r.raw, ",")
+    cells = r.commaed
     cell = lambda i: F.get(cells, F.lit(i))
     at_ = F.timestamp_micros(F.when(cell(0).rlike(r"^[+-]?\d{1,18}$"), cell(0)).try_cast("bigint"))
     columns = {k: blank_to_null(cell(i)) for k, i in {"serverHost": 1, "username": 2, "host": 3, "operation": 6, "database": 7}.items()}
