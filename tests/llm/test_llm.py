@@ -90,6 +90,25 @@ def test_ngram_join(spark, docs, monkeypatch, k, percent):
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+def links_by_hand(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall((t or "").translate(LOW))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ())
+    kinds = set(sets.values()) - {frozenset()}
+    links = {x: sum(100 * len(x & y) >= percent * len(x | y) for y in kinds) - 1 for x in kinds}
+    return {i: links.get(s, 0) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_TOKENS, 1024])
+def test_ngram_join_counts_all_links(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+    for df in (docs, near_copies(spark)):
+        got = {i: r.n_links for i, r in by_id(ngram_join.ngram_jaccard_join(df, words=4, percent=85)).items()}
+        assert got == links_by_hand(texts(df), 4, 85)
+
+
 def test_html_extraction(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}

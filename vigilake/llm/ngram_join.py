@@ -26,6 +26,11 @@ share rules a link out: every pair that shares a signature is thus compared,
 ruled out or already connected. Comparison is exact; sets travel as 32-bit tokens, and a
 pair that a coincidence of tokens could decide is compared again in 64 bits.
 
+That search finds components, not all links in them. For n_links the sets of a
+component, in 64 bits, are dealt into blocks of about BLOCK_TOKENS tokens and
+BLOCK_SETS sets, and any two blocks meet in one task, which works out all
+overlaps at once. All links lie within components, so none is missed.
+
 Defined cases: a text of fewer words than n has its whole sequence as its one
 token; one without words, or null, has none and no links; rows that repeat a
 doc_id and text are one document; of other columns only ids and text are used.
@@ -48,8 +53,11 @@ from .textops import LOWER, SPACED, Spans, gram_sets, mix, signed, slices, span_
 MAX_FREQUENT = 1 << 22
 MIN_FREQUENT = 16
 BLOOM_BITS_MOST = 1 << 26
+BLOCK_TOKENS = 1 << 18
+BLOCK_SETS = 512
 _FLUSH = 1_000_000
 _FAN = 64
+_CELLS = 1 << 21
 _U = np.uint64
 
 
@@ -285,12 +293,82 @@ def links_of(pairs: DataFrame, docs: DataFrame, words: int, percent: int, known)
     return found.where("sure").select("a", "b").union(again.select("a", "b"))
 
 
+def _linked(sets: list[np.ndarray], second: np.ndarray, percent: int) -> np.ndarray:
+    """Number of links of each set: to those on the other side of ``second`` or, where all are on one side, to all others."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = often > 1  # other tokens are not shared
+    held = some[at]
+    owner, at = np.repeat(np.arange(len(sets)), n)[held], (np.cumsum(some) - 1)[at[held]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    halves = (np.flatnonzero(~second), np.flatnonzero(second))
+    left, right = halves if len(halves[0]) and len(halves[1]) else (np.arange(len(sets)),) * 2
+    common = np.zeros((len(left), len(right)), np.int64)
+    width, step = int(some.sum()), max(1024, _CELLS // len(sets))
+    for c in range(0, width, step):
+        lo, hi = np.searchsorted(at, (c, c + step))
+        has = np.zeros((len(sets), min(step, width - c)), np.float32)
+        has[owner[lo:hi], at[lo:hi] - c] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    linked = 100 * common >= percent * (n[left][:, None] + n[right] - common)
+    out = np.zeros(len(sets), np.int64)
+    if left is right:
+        out += linked.sum(axis=1) - 1
+    else:
+        out[left], out[right] = linked.sum(axis=1), linked.sum(axis=0)
+    return out
+
+
+def degrees(found: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, links): to how many others each document of a component is linked; found: (node, component), sizes: (doc_id, n)."""
+    # a component's smallest document stands in its second column only
+    nodes = found.select(F.col("node").alias("doc_id"), "component").union(found.select("component", "component")).distinct()
+    placed = nodes.join(sizes, "doc_id")
+    weight = F.sum(F.greatest("n", F.lit(BLOCK_TOKENS // BLOCK_SETS)))
+    fans = placed.groupBy("component").agg(F.ceil(weight / BLOCK_TOKENS).alias("fans"))
+    members = written(placed.join(fans, "component").select("doc_id", "component", "fans", F.pmod(F.xxhash64("doc_id"), "fans").alias("block")))
+    sets = _made_of(docs, members.select("doc_id"), words, lambda: lambda s: s)
+    met = sets.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("fans") - 1)))
+    key = ("component", "low", "high")
+    dealt = met.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", (F.col("block") > F.col("other")).alias("second"), "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, links = None, {}, [], []
+
+        def count() -> None:
+            # the half that waits for another one does not meet itself here
+            second = np.array([x for x, _ in held.values()], bool)
+            if len(held) > 1 and (now[1] == now[2] or second.any() != second.all()):
+                ids.append(np.fromiter(held, np.int64, len(held)))
+                links.append(_linked([s for _, s in held.values()], second, percent))
+
+        def counted() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, links)]
+            ids.clear()
+            links.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "links"])
+
+        for batch in batches:
+            for *at, i, second, s in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if at != now:
+                    count()
+                    now, held = at, {}
+                held[i] = (second, np.frombuffer(s, _U))
+            yield counted()
+        count()
+        yield counted()
+
+    parts = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "doc_id long, links long")
+    return parts.groupBy("doc_id").agg(F.sum("links").alias("links"))
+
+
 def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) per row of docs.
 
     component_id is the smallest doc_id reachable by links, class_id the
-    smallest one with the same set, n_links the links found between its
-    class's representative and others (those that the search needed).
+    smallest one with the same set, n_links the number of other classes whose
+    sets are linked to its own.
     """
     spark = docs.sparkSession
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -329,9 +407,9 @@ def ngram_jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         release(spark)
         more = written(links_of(rest, usable, words, percent, known))
         if more.take(1):
-            links = written(links.union(more))
-            found = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+            found = components(links.union(more))
+    release(spark)
+    degree = degrees(found, classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.max("n").alias("n")), usable, words, percent).withColumnRenamed("doc_id", "class_id")
     heads = classes.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
     keyed = heads.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = sizes.join(keyed, ["n", "d1", "d2"], "left")
