@@ -22,3 +22,10 @@ def test_entry_and_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 1
+
+
+def test_slack_escaping_covers_whole_texts(spark, small):
+    escaped = {r.doc_id: r.safe for r in catalog.queries()["helper_slack_text_whole"](spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert any(set("&<>") & set((r.text or "")[60:]) for r in rows)
+    assert escaped == {r.doc_id: r.text and r.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for r in rows}

@@ -417,6 +417,12 @@ def helper_slack_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 150).alias("short"), text.slack_escaped(F.substring("text", 1, 60)).alias("safe"))
 
 
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents")
+def helper_slack_text_whole(spark, sf_dir):
+    """The escaping over whole texts; helper_slack_text compares their first 60 characters."""
+    return load(spark, sf_dir, "documents").select("doc_id", text.slack_escaped(F.col("text")).alias("safe"))
+
+
 # ---- aggregates and metrics ----
 
 
