@@ -165,6 +165,16 @@ def test_decontamination(spark, docs, small):
     assert any(v[4] for v in got.values())
 
 
+def test_decontamination_by_items_without_id(spark):
+    long, short = " ".join(f"w{i}" for i in range(14)), "lone item"
+    bench = spark.createDataFrame([(None, long), (None, short), ("known", "b c d")], "item_id string, text string")
+    df = spark.createDataFrame([(1, f"x {long} y"), (2, f"a {short} b c d"), (3, "nothing of it")], "doc_id long, text string")
+    for bytes_ in (decontaminate.BLOCK_BYTES, 10):
+        got = by_id(decontaminate.report(decontaminate.decontaminate(df, bench, block_bytes=bytes_)))
+        assert {i: (r.n_hit, r.n_items, r.contaminated) for i, r in got.items()} == {1: (14, 0, True), 2: (5, 1, True), 3: (0, 0, False)}
+        assert got[2].items_sha256 == hashlib.sha256(b"known").hexdigest()
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.judge(docs))
     for i, t in texts(docs):

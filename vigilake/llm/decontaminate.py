@@ -13,7 +13,8 @@ The benchmark is cut into blocks of at most ``block_bytes`` of text, and one
 block at a time is broadcast; documents are never shuffled.
 
 Defined cases: a null or empty text has no words and no hits; an item without
-words never occurs; repeated rows are judged alike; other columns are ignored.
+words never occurs; an item without id is searched for and its hits count, but
+it has no id to stand in items; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def winnow(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np
 class Index:
     """Fingerprints of one benchmark block, sorted by hash."""
 
-    def __init__(self, items: list[tuple[str, str | None]], span_words: int, gram: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], span_words: int, gram: int):
         h, first = word_hashes(pa.array([t for _, t in items], pa.string()))
         self.ids, self.span, self.gram, self.window = [i for i, _ in items], span_words, gram, span_words - gram + 1
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -98,7 +99,8 @@ class Index:
         def add(text: int, start: int, stop: int, item: int) -> None:
             spans, ids = out.setdefault(text, ([], set()))
             spans.append((start, stop))
-            ids.add(self.ids[item])
+            if self.ids[item] is not None:
+                ids.add(self.ids[item])
 
         at, fp = winnow(h, first, self.gram, self.window)
         done: dict[tuple[int, int, int], int] = {}
@@ -162,9 +164,9 @@ def _pass(df: DataFrame, index, text: str) -> DataFrame:
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """Lists of (item id as string, text) of at most block_bytes each, one item at least; read one block at a time."""
+    """Lists of (item id as string or null, text) of at most block_bytes each, one item at least; read one block at a time."""
     block, used = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("i").isNotNull())
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
     for row in rows.toLocalIterator():
         size = len(row.t or "") * 4
         if block and used + size > block_bytes:
