@@ -255,6 +255,18 @@ def test_substring_dedup(spark, docs):
         assert len(whole[i].text.encode()) == len(raw) - whole[i].n_cut_bytes
 
 
+def test_substring_dedup_without_white_space(spark):
+    rng = random.Random(10)
+    run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = run(400)
+    rows = [(0, run(100) + passage + run(50)), (1, run(77) + passage + run(90)), (2, run(500)), (3, run(60) + passage[:200] + run(1) + passage[200:]), (4, "a" * 2000)]
+    got = by_id(substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    size = len(passage.encode())
+    assert got[0].n_cut_bytes == got[2].n_cut_bytes == 0
+    assert size * 0.7 < got[1].n_cut_bytes <= size and size * 0.5 < got[3].n_cut_bytes <= size
+    assert all(got[i].n_chunks >= len(t.encode()) / (substring_dedup.MOST + 4) for i, t in rows)
+
+
 def test_url_filter(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-1, None), (-2, "no scheme"), (-3, "http://A.Example.COM/en/7x?q#f"), (-4, "http://com/en/"), (-5, "x://notcom/en/"), (-6, "http://h.net"), (-7, "ftp://u@B.Net:8/de/8/?x"), (-8, "http://example.net/de/8")], "page_id long, url string"))
     rules = [(v, *t.partition("/")[::2]) for v, t in url_filter.RULES]

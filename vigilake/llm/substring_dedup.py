@@ -3,8 +3,10 @@
 A gear hash rolls over the bytes: h = (h << 2) + G[byte], kept to 32 bits, so
 it depends on the last 16 bytes alone. A chunk ends behind a white-space byte
 where the hash's top bits are zero, at ``least`` bytes or later, and at the
-first white space behind ``most`` bytes in any case (a run without white space
-is not cut). Boundaries depend on the content near them, so an insertion moves
+first white space behind ``most`` bytes in any case. In a run of more than
+``most`` bytes without white space, as in Chinese, Japanese or minified code, it
+ends behind any character where ``_RUN_BITS`` more bits are zero, and behind the
+first one at ``most`` bytes in any case. Boundaries depend on the content near them, so an insertion moves
 only the chunks it touches. Chunks are compared by a 128-bit digest; all but
 the first, by (doc_id, position), are repeats. A run of neighbouring repeats is
 cut out if it has ``min_run`` bytes at least, so short stock phrases stay.
@@ -23,6 +25,8 @@ from .repeats import Units, later_occurrences, rewritten, with_repeats
 from .textops import SPACED, span_hashes, texts_of
 
 LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 2, 80
+#: A run has a cut for each byte, not for each word.
+_RUN_BITS = 3
 
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -40,8 +44,18 @@ def gear(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def chunk_ends(buf: np.ndarray, off: np.ndarray, least: int = LEAST, most: int = MOST, mask_bits: int = MASK_BITS) -> tuple[np.ndarray, np.ndarray]:
     """End of each chunk and the text it belongs to. A text's first 16 bytes hash as if the text before it went on, so no cut is taken there."""
     white = SPACED[buf] == 0
-    cuts = np.flatnonzero(white & (gear(buf, off) >> np.uint32(32 - mask_bits) == 0)) + 1
-    spaces = np.flatnonzero(white) + 1
+    h = gear(buf, off)
+    cut = white & (h >> np.uint32(32 - mask_bits) == 0)
+    borders = np.union1d(np.append(off, 0), np.flatnonzero(white) + 1)
+    gaps = np.diff(borders)
+    stop = white
+    if (gaps > most).any():
+        inner = np.repeat(gaps > most, gaps)
+        inner[:-1] &= buf[1 : len(inner)] & 0xC0 != 0x80  # behind a character's last byte
+        stop = white | inner
+        cut |= inner & (h >> np.uint32(32 - mask_bits - _RUN_BITS) == 0)
+    cuts = np.flatnonzero(cut) + 1
+    spaces = np.flatnonzero(stop) + 1
     ends, owner = [], []
     at = np.searchsorted(cuts, off).tolist()
     for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
