@@ -29,3 +29,10 @@ def test_slack_escaping_covers_whole_texts(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     assert any(set("&<>") & set((r.text or "")[60:]) for r in rows)
     assert escaped == {r.doc_id: r.text and r.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") for r in rows}
+
+
+def test_full_join_covers_whole_tables(spark, small):
+    got = catalog.queries()["sql_join_full_whole"](spark, small).collect()
+    for table, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        assert sorted(r[key] for r in got if r[key] is not None) == sorted(r[0] for r in spark.read.parquet(f"{small}/{table}.parquet").select(key).collect())
+    assert any(r.s_suppkey is None for r in got)
