@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,15 +82,43 @@ def near_copies(spark):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_ngram_join(spark, docs, monkeypatch, k, percent):
-    monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)
+@pytest.mark.parametrize(("k", "percent", "often", "light"), [(4, 85, 8, 24), (5, 80, 2, 3)])
+def test_ngram_join(spark, docs, monkeypatch, k, percent, often, light):
+    monkeypatch.setattr(ngram_join, "MIN_FREQUENT", often)
+    monkeypatch.setattr(ngram_join, "LIGHT", light)
+    monkeypatch.setattr(ngram_join, "CLASS_STEP", 3)
     for df in (docs, near_copies(spark)):
         got = {i: (r.n_shingles, r.component_id) for i, r in by_id(ngram_join.ngram_jaccard_join(df, words=k, percent=percent)).items()}
         assert got == components_by_hand(texts(df), k, percent)
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Whatever the classes of the tokens."""
+    rng = np.random.default_rng(percent)
+    linked = 0
+    for n in [*range(2, 30), 60, 150] * 12:
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = x[np.sort(rng.permutation(len(x))[: max(1, len(x) - rng.integers(0, 1 + len(x) * (100 - percent) // 100))])]
+        y = np.unique(np.concatenate((y, rng.integers(0, 1 << 63, rng.integers(0, 1 + n * (100 - percent) // 200)).astype(np.uint64))))
+        common = len(np.intersect1d(x, y))
+        if 100 * common < percent * (len(x) + len(y) - common) or min(len(x), len(y)) < 2 or len(x) == len(y) == common:
+            continue
+        linked += 1
+        salt, mixed = rng.integers(1, 1 << 62), rng.integers(0, 4)
+        of = lambda s: (1 + (s ^ np.uint64(salt)) % np.uint64(4) if mixed else np.full(len(s), 1 + salt % 4)).astype(np.uint8)
+        assert len(np.intersect1d(ngram_join.signatures(x, of(x), percent)[0], ngram_join.signatures(y, of(y), percent)[0]))
+    assert linked > 50
+
+
+def test_ngram_join_of_repeated_ids_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (9, b + " end"), (3, "c d e f"), (5, None), (None, a)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 57, 5, 1): 3, (7, 58, 5, 1): 1, (9, 58, 5, 1): 1, (3, 1, 3, 0): 1, (5, 0, 5, 0): 1, (None, 57, 5, 1): 1})
+
+
 def links_by_hand(rows, k, percent):
     sets = {}
     for i, t in rows:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, written
 
 BLOCK_LINKS = 1_000_000
 
@@ -67,7 +67,8 @@ def components(links: DataFrame) -> DataFrame:
     e = written(stars)
     before = mark(e)
     while before[0]:
-        e = written(_small_star(_large_star(e)))
+        last, e = e, written(_small_star(_large_star(e)))
+        discard(last)
         after = mark(e)
         if after == before:
             break

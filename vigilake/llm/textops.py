@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240601))
