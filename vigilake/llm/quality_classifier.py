@@ -1,24 +1,25 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams: one of the target (documents
-labelled good), one of the raw text (all documents). A document's importance
-weight is the log of the ratio of its probabilities, per n-gram: words, word
-pairs and runs of marks. N-grams whose count in the target is within ``sure``
-standard errors of what the raw text makes us expect have ratio 1, so chance
-does not add up; likelier-than-raw n-grams do not make up for unlikely ones, so
-one vile word counts in any context. The weights are put on a scale and
-perturbed with Gumbel noise, and the top k are kept, k being the number of
-documents whose weight clears the cut that best separates the labelled rows.
-Sampling by Gumbel top-k draws without replacement by weight; the scale is such
-that only documents near the cut depend on the draw, which is fixed by
-``seed``, doc_id alone.
+Two generative models over hashed n-grams (words, word pairs and runs of
+marks): one of the target, documents labelled good, one of the raw text, all
+documents. A document's log importance weight is the sum, over all its n-grams,
+of the log ratio of target to raw. Both counts are smoothed: ``prior`` is added
+to each, and the count that the raw model makes us expect in the target is moved
+towards the target's by ``sure`` standard errors, as far as equality, so n-grams
+too rare to tell have ratio 1 and chance does not add up over a long text. The
+weights are divided by ``temperature``, perturbed with Gumbel noise, and the top
+k are kept, which draws k documents without replacement by importance. k is the
+number of documents whose weight clears the cut that best separates the labelled
+rows. The noise of a document is fixed by ``seed`` and doc_id alone.
 
 Counts cover all documents. The labelled rows are at most ``max_labelled``, by
 a hash of doc_id. The tables have fixed sizes.
 
-Defined cases: a null or empty text has weight 0; without labelled rows of both
-kinds all are kept; repeated rows get the same noise; ties at the last place
-are kept.
+Defined cases: a null or empty text has weight 0, so chance decides where 0 is
+near the cut; without labelled rows of both kinds all are kept; labels of one
+doc_id that contradict one another count as not good, labels with a null are
+left out; repeated rows get the same noise and verdict; ties at the last place
+are kept; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ from .runtime import shuffle_partitions, written
 from .textops import ALNUM, LOWER, Spans, byte_class, grams, slices, span_hashes, texts_of
 
 MAX_LABELLED = 40_000
-SCALE = 400.0
-SMOOTH = 20
+#: Sharpness of the ratios; the bound holds back chance, the prior decides how much an n-gram that the target lacks counts.
+SURE, PRIOR, TEMPERATURE = 3.0, 0.02, 1.0
 #: log2 of the slots for words, word pairs and runs of marks.
 _BITS = (20, 18, 12)
 _START = np.cumsum([0, *(1 << b for b in _BITS)])
-_CHUNKS = 64
+_CHUNKS = 512
 _MARKS = byte_class(bytes(b for b in range(256) if not (0x21 <= b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x7F)))
 
 
@@ -108,14 +109,14 @@ def _counts(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, sure: float) -> np.ndarray:
-    """min(log target/raw, 0) of each slot, 0 where the difference may be chance."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, sure: float = SURE, prior: float = PRIOR) -> np.ndarray:
+    """log target/raw of each slot, on the scale of the target's counts; 0 within ``sure`` standard errors."""
     out = np.zeros(len(raw), np.float32)
     for a, b in zip(_START[:-1], _START[1:], strict=True):
         share = target[a:b].sum() / max(1, raw[a:b].sum())
         expected = raw[a:b] * share
-        z = (target[a:b] - expected) / np.sqrt(expected * (1 - share) + 1)
-        out[a:b] = np.where(z <= -sure, np.log((target[a:b] + 1) / (expected + 1)), 0)
+        error = sure * np.sqrt(expected * (1 - share) + 1)
+        out[a:b] = np.log((target[a:b] + prior) / (np.clip(target[a:b], np.maximum(expected - error, 0), expected + error) + prior))
     return out
 
 
@@ -130,7 +131,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for slots, first in found:
                 sums = np.concatenate(([0.0], np.cumsum(table.value[slots], dtype=np.float64)))
                 total += sums[first[1:]] - sums[first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(np.round(total / (n_words + SMOOTH), 9))], names=["doc_id", "n_words", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "weight"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, weight double")
 
@@ -165,20 +166,20 @@ def kth_largest(table: DataFrame, key: str, k: int) -> float:
     return float(low)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, sure: float = 4.5, scale: float = SCALE, seed: int = 42) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, sure: float = SURE, prior: float = PRIOR, temperature: float = TEMPERATURE, seed: int = 42) -> DataFrame:
     """(doc_id, n_words, weight, key, kept) of every row. labels: doc_id, quality, toxic; good is quality 1 and toxic 0."""
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("quality = 1 and toxic = 0")).alias("good"))
     rows = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     good = {r.doc_id: r.good for r in rows}
     raw, target = _counts(source, np.array([i for i, g in good.items() if g], np.int64))
-    scored = written(weighed(source, log_ratios(raw, target, sure)))
+    scored = written(weighed(source, log_ratios(raw, target, sure, prior)))
     spark = docs.sparkSession
     sample = spark.createDataFrame([(i, g) for i, g in good.items()], "id long, good boolean")
     known = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.first("weight").alias("weight"), F.first("good").alias("good")).select("weight", "good").collect()
     weights, is_good = np.array([r.weight for r in known]), np.array([r.good for r in known], bool)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("key", F.col("weight") * scale - F.log(-F.log(uniform)))
+    keyed = scored.withColumn("key", F.col("weight") / temperature - F.log(-F.log(uniform)))
     if not is_good.any() or is_good.all():
         return keyed.withColumn("kept", F.lit(True))
     k = scored.where(F.col("weight") >= best_cut(weights, is_good)).count()
