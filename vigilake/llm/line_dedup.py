@@ -7,8 +7,11 @@ by a document's repeats, overlapping ones merged, are removed.
 
 Defined cases: a null text stays null, an empty one empty; a document of fewer
 lines than a window has none and is kept whole; a repeated row (same doc_id and
-text) is one occurrence; lines are compared without white space at their ends;
-blank lines stay unless the text becomes empty of others, then it is "".
+text) is one occurrence, a repeated doc_id with another text is a document of
+its own; a row without doc_id is kept whole; lines are compared without white
+space at their ends; blank lines stay unless the text becomes empty of others,
+then it is "". An empty table gives an empty one. Other columns are kept, but
+for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Units, later_occurrences, rewritten, with_repeats
+from .repeats import Units, later_occurrences, rewritten
 from .textops import LINES, SPACED, Spans, grams, span_hashes, texts_of
 
 WINDOW = 3
@@ -56,5 +59,4 @@ def _without(size: int):
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """docs with text freed of repeats, and the columns n_lines and n_removed."""
     found = later_occurrences(docs, _windows(size), doc_id=doc_id, text=text)
-    joined = with_repeats(docs, found, doc_id=doc_id, name="__repeats")
-    return rewritten(joined, text, "__repeats", [("n_lines", pa.int64(), "long"), ("n_removed", pa.int64(), "long")], _without(size))
+    return rewritten(docs, found, [("n_lines", pa.int64(), "long"), ("n_removed", pa.int64(), "long")], _without(size), doc_id=doc_id, text=text)

@@ -12,7 +12,10 @@ the first, by (doc_id, position), are repeats. A run of neighbouring repeats is
 cut out if it has ``min_run`` bytes at least, so short stock phrases stay.
 
 Defined cases: a null text stays null; an empty text has no chunks; a repeated
-row (same doc_id and text) is one occurrence.
+row (same doc_id and text) is one occurrence, a repeated doc_id with another
+text is a document of its own; a row without doc_id is kept whole; an empty
+table gives an empty one. Other columns are kept, but for n_chunks, n_seen,
+n_repeated and n_cut_bytes, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Units, later_occurrences, rewritten, with_repeats
+from .repeats import Units, later_occurrences, rewritten
 from .textops import SPACED, span_hashes, texts_of
 
 LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 2, 80
@@ -92,14 +95,14 @@ def _chunks(least: int, most: int, mask_bits: int):
 
 
 def _without(least: int, most: int, mask_bits: int, min_run: int):
-    def rewrite(text: str | None, repeats: list[int] | None) -> tuple[str | None, int, int, int]:
+    def rewrite(text: str | None, repeats: list[int] | None) -> tuple[str | None, int, int, int, int]:
         if text is None:
-            return None, 0, 0, 0
+            return None, 0, 0, 0, 0
         raw = text.encode()
         ends, _ = chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), least, most, mask_bits)
         if not repeats:
-            return text, len(ends), 0, 0
-        bounds, left, at, cut, k = [0, *ends.tolist()], [], 0, 0, 0
+            return text, len(ends), 0, 0, 0
+        bounds, left, at, cut, gone, k = [0, *ends.tolist()], [], 0, 0, 0, 0
         while k < len(repeats):
             j = k
             while j + 1 < len(repeats) and repeats[j + 1] == repeats[j] + 1:
@@ -107,15 +110,15 @@ def _without(least: int, most: int, mask_bits: int, min_run: int):
             a, b = bounds[repeats[k]], bounds[repeats[j] + 1]
             if b - a >= min_run:
                 left.append(raw[at:a])
-                at, cut = b, cut + b - a
+                at, cut, gone = b, cut + b - a, gone + j + 1 - k
             k = j + 1
-        return b"".join([*left, raw[at:]]).decode(), len(ends), len(repeats), cut
+        return b"".join([*left, raw[at:]]).decode(), len(ends), len(repeats), gone, cut
 
     return rewrite
 
 
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, mask_bits: int = MASK_BITS, min_run: int = MIN_RUN) -> DataFrame:
-    """docs with text freed of repeated passages, and n_chunks, n_repeated (chunks seen before) and n_cut_bytes."""
+    """docs with text freed of repeated passages, and n_chunks, n_seen (chunks seen before), n_repeated (those of them in runs that are cut) and n_cut_bytes."""
     found = later_occurrences(docs, _chunks(least, most, mask_bits), doc_id=doc_id, text=text)
-    joined = with_repeats(docs, found, doc_id=doc_id, name="__repeats")
-    return rewritten(joined, text, "__repeats", [("n_chunks", pa.int64(), "long"), ("n_repeated", pa.int64(), "long"), ("n_cut_bytes", pa.int64(), "long")], _without(least, most, mask_bits, min_run))
+    extra = [(x, pa.int64(), "long") for x in ("n_chunks", "n_seen", "n_repeated", "n_cut_bytes")]
+    return rewritten(docs, found, extra, _without(least, most, mask_bits, min_run), doc_id=doc_id, text=text)
