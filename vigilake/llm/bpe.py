@@ -8,13 +8,22 @@ pair is refused if some merge across their border would have come earlier than
 the merges that built them. Following the stored tokens back from the end of
 the word gives the ids that repeated merging would give, in linear time.
 
-Defined cases: a null or empty text has no tokens and decodes to "".
+Which characters are letters, digits and white space, and what they become in
+normal form and lower case, depends on the Unicode version of a library. Texts
+of FAMILIAR characters, on which all versions agree, are split by expressions
+of this module's own; for others the tokenizer's own normalizer and character
+classes are asked. Encoding is the same for both.
+
+Defined cases: a null or empty text has no tokens and decodes to ""; repeated
+rows are encoded alike; an empty table gives an empty one; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,10 +31,13 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .textops import slices
 
 _END = "\u0000"
+#: Texts of other characters are normalized and split with the tokenizer's own tables.
+_UNFAMILIAR = re.compile("[^\0-\u024f\u0300-\u0314\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u2030-\u203a\u20ac\u3000-\u3003\u3041-\u3094\u30a1-\u30f4\u4e00-\u9fa5\uac00-\ud7a3]")
 _WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 CACHE_WORDS = 250_000
 
@@ -52,6 +64,7 @@ class Bpe:
         self.text_of = {str(i): t for t, i in [*ids.items(), *special.items()]}
         pattern = next(p for p in made["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(pattern)
+        self.pattern, self.normalizer, self.other_words = pattern, Tokenizer.from_file(path).normalizer, None
         self.letters = dict(enumerate(_byte_letters()))
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -132,8 +145,21 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return _WHITE.sub(" ", text).lower()
 
+    def unfamiliar(self, text: str) -> list[str]:
+        """Pre-tokens by the tokenizer's own tables."""
+        if self.other_words is None:
+            # the pattern with its classes written out as what the library holds them to be
+            every = "".join(chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000)  # none of these classes has any beyond
+            spelled = self.pattern
+            for name in (r"\p{L}", r"\p{N}", r"\s"):
+                kept = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
+                spelled = spelled.replace(name, "".join(f"\\U{ord(x[0]):08x}-\\U{ord(x[-1]):08x}" for x, _ in kept))
+            spelled = re.sub(r"(?<=[|])(\\U[^|]*)(?=[|])", r"[\1]", spelled)  # a class that stood alone
+            self.other_words = regex.compile(spelled, regex.V0)
+        return self.other_words.findall(self.normalizer.normalize_str(text))
+
     def plain(self, text: str) -> list[str]:
-        words = self.words.findall(self.normal(text))
+        words = self.words.findall(self.normal(text)) if text.isascii() or not _UNFAMILIAR.search(text) else self.unfamiliar(text)
         get = self.fresh.get
         return [get(w) or self.cached(w) for w in words]
 
