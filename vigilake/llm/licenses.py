@@ -6,13 +6,17 @@ is run, and a priority. Detections are taken by priority, then length; one that
 lies inside an accepted one is suppressed. The base phrases are counted beside
 that and their labels always stay.
 
-Defined cases: a null or empty text has no words, no labels and score 0;
-repeated rows are scanned alike; other columns are ignored.
+Defined cases: a null or empty text has no words, no labels and score 0; of
+equal detections the one that stands first, then the first label, is taken;
+repeated rows are scanned alike; an empty table gives an empty one; other
+columns are ignored. The time for a text grows with its length and, sorted,
+with its detections.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +51,7 @@ def _rules() -> list[Rule]:
     out: list[Rule] = []
 
     def add(label: str, pattern: str, keywords: str, priority: int) -> None:
-        out.append(Rule(label, re.compile(rf"(?<! )(?<=^)(?:{pattern})(?= |$)|(?<= )(?:{pattern})(?= |$)"), tuple(keywords.split()), priority))
+        out.append(Rule(label, re.compile(rf"(?:^|(?<= ))(?:{pattern})(?= |$)"), tuple(keywords.split()), priority))
 
     # GNU family
     gnu = {"gpl": ("general public licen[cs]e", "1.0 2.0 3.0"), "lgpl": ("(?:lesser|library) general public licen[cs]e", "2.0 2.1 3.0"), "agpl": ("affero general public licen[cs]e", "1.0 3.0")}
@@ -138,22 +142,58 @@ _GATE = re.compile(rb"licen|gpl|bsd|creative|hereby|redistribut|wtfpl|rights|cla
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _places(words: str, phrase: str) -> list[int]:
-    """Word indices at which the phrase's words stand, in text of words joined by spaces; overlaps count."""
-    padded, needle, out, at = f" {words} ", f" {phrase} ", [], -1
+class Words:
+    """Normalised text and where its words start."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spaces = [m.start() for m in re.finditer(" ", text)]
+
+    def index(self, at: int) -> int:
+        """Number of the word at this place."""
+        return bisect_left(self.spaces, at)
+
+
+def _places(words: Words, phrase: str) -> list[int]:
+    """Word indices at which the phrase's words stand; overlaps count."""
+    padded, needle, out, at = f" {words.text} ", f" {phrase} ", [], -1
     while (at := padded.find(needle, at + 1)) >= 0:
-        out.append(padded.count(" ", 0, at))
+        out.append(words.index(at))
     return out
 
 
-def scan(words: str, rules: list[Rule] | None = None) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]]]:
-    """Base detections (label, first word) and accepted rule detections (label, start, end, priority) of normalised text."""
+class Covered:
+    """Intervals of which none lies in another, in order; tells whether one of them holds a new one."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and self.ends[k] >= end
+
+    def add(self, start: int, end: int) -> None:
+        a, b = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        self.starts[a : max(a, b)], self.ends[a : max(a, b)] = [start], [end]
+
+
+def scan(text: str, rules: list[Rule] | None = None) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]]]:
+    """Base detections (label, first word) and accepted rule detections (label, first word, word behind the last, priority) of normalised text."""
+    rules = RULES if rules is None else rules
+    words = Words(text)
     base = [(label, at) for phrase, label in BASE.items() for at in _places(words, phrase)]
-    accepted: list[tuple[str, int, int, int]] = []
-    found = [(r.priority, m.end() - m.start(), m.start(), r.label) for r in (rules or RULES) if all(k in words for k in r.keywords) for m in r.pattern.finditer(words)]
+    stands: dict[str, bool] = {}
+    for r in rules:
+        for k in r.keywords:
+            if k not in stands:
+                stands[k] = k in text
+    found = [(r.priority, m.end() - m.start(), m.start(), r.label) for r in rules if all(map(stands.__getitem__, r.keywords)) for m in r.pattern.finditer(text)]
+    accepted, covered = [], Covered()
     for priority, size, start, label in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-        if not any(s <= start and start + size <= e for _, s, e, _ in accepted):
-            accepted.append((label, start, start + size, priority))
+        if not covered.holds(start, start + size):
+            accepted.append((label, words.index(start), words.index(start + size) + 1, priority))
+            covered.add(start, start + size)
     return base, accepted
 
 
@@ -174,8 +214,8 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             whole = b"\n".join([whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])  # no match runs on into the next text
             off = off + np.arange(n + 1)
             for k in np.unique(np.searchsorted(off, [m.start() for m in _GATE.finditer(whole)], "right") - 1).tolist():
-                words = b" ".join(_WORD.findall(whole, off[k], off[k + 1])).decode("utf-8", "replace")
-                base, accepted = scan(words)
+                normal = b" ".join(_WORD.findall(whole, off[k], off[k + 1])).decode("utf-8", "replace")
+                base, accepted = scan(normal)
                 if not base and not accepted:
                     continue
                 n_base[k] = len(base)
@@ -184,7 +224,7 @@ def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 base_labels[k] = ",".join(sorted({x for x, _ in base}))
                 labels[k] = ",".join(sorted({x for x, _ in base} | {x for x, *_ in accepted}))
                 score[k] = max([0.75] * bool(base) + [p / 100 for *_, p in accepted])
-                spans[k] = [{"label": x, "start": words.count(" ", 0, s), "stop": words.count(" ", 0, e) + 1} for x, s, e, _ in sorted(accepted, key=lambda x: x[1])]
+                spans[k] = [{"label": x, "start": s, "stop": e} for x, s, e, _ in sorted(accepted, key=lambda x: x[1])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), signed(n_words), signed(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(labels), pa.array(score), pa.array(spans, detection)],
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"],
