@@ -1,32 +1,41 @@
 """URL filters: host rules first, then a tree of path templates per host.
 
-DataFrame functions only. A path becomes up to three generalised segments:
-numbers, hexadecimal strings and long mixed tokens become wildcards that keep a
-file extension; what is deeper becomes one more wildcard; a segment with many
-different values at one place of a host becomes a wildcard too. The tree's
-first-level branches of a host are merged with the host's other branches where
-their labelled block rate does not differ from the host's by more than
-``z`` standard errors; rows that a rule decides are the labels. A template's
-purity is its labelled block rate, smoothed by its parent's with ``weight``
-observations: template, branch, host, all hosts. Unlabelled rows count as not
-blocked in what is smoothed towards. A template is rejected from ``purity`` on.
-
-The tree is built on aggregated templates; only the last join, by template,
-meets all rows, and it can be split where a host is hot.
+DataFrame functions only. Numbers, hexadecimal strings and long mixed tokens of
+a path become wildcards that keep a file extension. The rest is a tree per host
+whose nodes are judged level by level, at every depth:
+
+* a node with ``most`` different children, or with ``many`` of them that are
+  ``share`` of its rows at least, has one wildcard child instead;
+* of other nodes, labelled children are put in order of their block rate, and
+  neighbours in it are merged where a two-sample test of their rates gives no
+  difference of more than ``z`` standard errors; so are their subtrees.
+
+Rows that a rule decides are the labels. A node's purity is its labelled block
+rate, smoothed by its parent's with ``weight`` observations. Above the host
+stands the rate of all hosts; on these two an unlabelled row counts as
+``doubt`` of a row that is not blocked, as rules label little else than what
+they block. A template is rejected from ``purity`` on.
+
+The tree is built on aggregated shapes, which are written once, as are the
+changes of each level; only the last join, by host and shape, meets all rows,
+and it can be split where a host is hot.
 
 Defined cases: a url that is null or has no "://" has an empty host and path,
-fits no rule and is judged with all such rows; repeated rows are judged alike.
+fits no rule and is judged with all such rows; a host without labels has the
+smoothed rate of all; repeated rows are judged alike and count as often as they
+stand; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 # Fixed values: (verdict, host and path start).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,41 +62,74 @@ def _general(segment: Column) -> Column:
     return F.when(wild, F.concat(F.lit("*"), ext)).otherwise(segment)
 
 
-def filter_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, many: int = 20, share: float = 0.5, z: float = 2.0, weight: float = 10.0, purity: float = 0.8) -> DataFrame:
+def _start(template: Column, k: int) -> Column:
+    return F.array_join(F.slice(template, 1, k), "/")
+
+
+def _changes(tree: DataFrame, k: int, many: int, most: int, share: float, z: float) -> DataFrame:
+    """(host, start, segment, name) of what changes at depth k: a null segment stands for all children of a node."""
+    sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
+    kids = tree.where(F.size("template") > k).groupBy("host", _start(F.col("template"), k).alias("start"), F.get("template", F.lit(k)).alias("segment")).agg(*sums)
+    nodes = kids.groupBy("host", "start").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows"), F.count_if(F.col("known") > 0).alias("labelled"))
+    nodes = nodes.withColumn("wild", (F.col("kinds") >= most) | ((F.col("kinds") >= many) & (F.col("kinds") >= share * F.col("rows"))))
+    wild = nodes.where("wild").select("host", "start", F.lit(None).cast("string").alias("segment"), F.lit("*").alias("name"))
+    # fewer than ``most`` children of a node remain
+    rate = F.col("bad") / F.col("known")
+    some = kids.where("known > 0").withColumn("rate", rate).join(nodes.where("not wild and labelled > 1").select("host", "start"), ["host", "start"])
+    order = Window.partitionBy("host", "start").orderBy("rate", "segment")
+    n0, p0 = F.lag("known").over(order), F.lag("rate").over(order)
+    pooled = (F.lag("bad").over(order) + F.col("bad")) / (n0 + F.col("known"))
+    unlike = F.abs(F.col("rate") - p0) > z * F.sqrt(pooled * (1 - pooled) * (1 / n0 + 1 / F.col("known")))
+    grouped = some.withColumn("unlike", F.coalesce(unlike, F.lit(True)).cast("int")).withColumn("branch", F.sum("unlike").over(order))
+    branch = Window.partitionBy("host", "start", "branch")
+    least, last, kinds = F.min("segment").over(branch), F.max("segment").over(branch), F.count(F.lit(1)).over(branch)
+    merged = grouped.select("host", "start", "segment", F.when(kinds > 1, F.concat(F.lit("{"), least, F.lit("|"), last, F.lit("}"))).alias("name")).where("name is not null")
+    return wild.union(merged)
+
+
+def path_tree(shapes: DataFrame, *, many: int, most: int, share: float, z: float) -> DataFrame:
+    """shapes (host, shape, n, known, bad) with their template, an array of segments."""
+    tree = shapes.withColumn("template", F.split("shape", "/"))
+    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
+    for k in range(depth):
+        found = written(_changes(tree, k, many, most, share, z))
+        changes = found.select(F.col("host").alias("h"), F.col("start").alias("s"), F.coalesce("segment", F.lit("")).alias("g"), F.col("segment").isNull().alias("all"), "name")
+        here, segment = _start(F.col("template"), k), F.get("template", F.lit(k))
+        for every in (True, False):
+            part = changes.where(F.col("all") == every)
+            fits = (tree["host"] == part["h"]) & (here == part["s"]) & (F.size("template") > k)
+            tree = tree.join(part, fits if every else fits & (segment == part["g"]), "left")
+            swapped = F.concat(F.slice("template", 1, k), F.array("name"), F.slice("template", k + 2, F.greatest(F.size("template") - k - 1, F.lit(0))))
+            tree = tree.select("host", "shape", "n", "known", "bad", F.when(F.col("name").isNotNull(), swapped).otherwise(F.col("template")).alias("template"))
+    return tree
+
+
+def purities(tree: DataFrame, *, weight: float, doubt: float) -> DataFrame:
+    """(host, template, purity) of each template of path_tree's."""
+    sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
+    templates = tree.groupBy("host", "template").agg(*sums)
+    places = templates.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("template")))).withColumn("start", F.slice("template", F.lit(1), F.col("depth")))
+    nodes = places.groupBy("host", "start").agg(*sums)
+    whole = tree.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "bad"))).first()
+    every = whole.bad / max(1.0, whole.known + doubt * (whole.n - whole.known))
+    above = places.select("host", "template", "depth", "start").join(nodes, ["host", "start"])
+    chains = above.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("depth", "n", "known", "bad"))).alias("chain"))
+    unknown = lambda x: F.when(x.depth == 0, doubt * (x.n - x.known)).otherwise(0.0)
+    purity = F.aggregate("chain", F.lit(float(every)), lambda above, x: (x.bad + weight * above) / (x.known + unknown(x) + weight))
+    return chains.select("host", "template", purity.alias("purity"))
+
+
+def filter_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, many: int = 20, most: int = 1000, share: float = 0.5, z: float = 2.0, weight: float = 10.0, doubt: float = 0.25, purity: float = 0.8) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity)."""
     host, path = host_and_path(pages[url])
     base = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "decided": verdict})
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    deep = {f"s{k}": F.coalesce(_general(F.get(parts, F.lit(k))), F.lit("")) for k in range(DEPTH)}
-    base = base.withColumns(deep | {f"s{DEPTH}": F.when(F.size(parts) > DEPTH, "**").otherwise("")})
-    places = ["host", *deep, f"s{DEPTH}"]
-    shapes = base.groupBy(*places).agg(F.count(F.lit(1)).alias("n"), F.count("decided").alias("known"), F.count_if(F.col("decided") == "block").alias("bad"))
-    # segments of many values at one place
-    variety = shapes.groupBy("host").agg(F.sum("n").alias("rows"), *(F.count_distinct(f"s{k}").alias(f"v{k}") for k in range(DEPTH)))
-    shapes = shapes.join(variety, "host")
-    for k in range(DEPTH):
-        shapes = shapes.withColumn(f"t{k}", F.when((F.col(f"v{k}") >= many) & (F.col(f"v{k}") >= share * F.col("rows")), "*").otherwise(F.col(f"s{k}")))
-    # branches like the host as a whole are merged
-    sums = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
-    hosts = shapes.groupBy("host").agg(*(F.sum(c).alias(f"host_{c}") for c in ("n", "known", "bad")))
-    whole = shapes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in ("n", "bad")))
-    branches = shapes.groupBy("host", "t0").agg(*sums).join(hosts, "host")
-    rate = F.try_divide("host_bad", "host_known")
-    alike = (F.col("known") > 0) & (F.abs(F.try_divide("bad", "known") - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("known"))))
-    branches = branches.select("host", "t0", F.when(alike, "*").otherwise(F.col("t0")).alias("branch"))
-    shapes = shapes.join(branches, ["host", "t0"])
-    smoothed = lambda bad, n, parent: (bad + weight * parent) / (n + weight)
-    templates = shapes.groupBy("host", "branch", "t1", "t2", f"s{DEPTH}").agg(*sums)
-    by_branch = shapes.groupBy("host", "branch").agg(*(F.sum(c).alias(f"b_{c}") for c in ("known", "bad")))
-    judged = templates.join(by_branch, ["host", "branch"]).join(hosts, "host").join(F.broadcast(whole))
-    everywhere = F.coalesce(F.try_divide("all_bad", "all_n"), F.lit(0.0))
-    on_host = smoothed(F.col("host_bad"), F.col("host_n"), everywhere)
-    on_branch = smoothed(F.col("b_bad"), F.col("b_known"), on_host)
-    judged = judged.select("host", "branch", "t1", "t2", f"s{DEPTH}", smoothed(F.col("bad"), F.col("known"), on_branch).alias("purity"))
-    name = F.concat_ws("/", F.lit(""), "branch", *(F.when(F.col(c) != "", F.col(c)) for c in ("t1", "t2", f"s{DEPTH}")))
-    judged = shapes.select(*places, "branch", "t1", "t2").join(judged, ["host", "branch", "t1", "t2", f"s{DEPTH}"]).select(*places, name.alias("template"), "purity")
-    out = base.join(judged, places, "left")
+    shape = F.array_join(F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _general), "/")
+    base = base.withColumns({"rule": rule, "decided": verdict, "shape": shape})
+    shapes = written(base.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("decided").alias("known"), F.count_if(F.col("decided") == "block").alias("bad")))
+    tree = written(path_tree(shapes, many=many, most=most, share=share, z=z))
+    judged = tree.select("host", "shape", "template").join(purities(tree, weight=weight, doubt=doubt), ["host", "template"])
+    judged = written(judged.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"))
+    out = base.join(judged, ["host", "shape"], "left")
     verdict = F.coalesce("decided", F.when(F.col("purity") >= purity, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
