@@ -67,6 +67,36 @@ def test_forwarding_keeps_every_match(spark):
     assert '"color":"#f57c00"' in text and "*event name:* N" in text
 
 
+def test_ties_open_one_alert_and_late_matches_belong_to_the_open_one(spark):
+    hour = 3_600_000_000
+    m = matches(spark, [("r", "k", 5 * hour), ("r", "k", 5 * hour), ("r", "k", hour), ("r", "x", 0), ("q", "k", 0)])
+    before = stateful.alert_runs(matches(spark, [("r", "k", 4 * hour + 1)]))
+    out = alerts.forward(m, ts="event_time", open_alerts=before).collect()
+    assert len(out) == 5
+    kept = {(r.rule_id, r.title): (r.alert_id, r.is_new_alert) for r in out}
+    old = before.first().alert_id
+    assert {kept["r", t] for t in ("t0", "t1", "t2")} == {(old, False)} and kept["r", "t3"][1] and kept["q", "t4"][1]
+    alone = alerts.forward(m.where("rule_id = 'r' and dedup = 'k'"), ts="event_time").orderBy("event_time", "title").collect()
+    assert [(r.title, r.is_new_alert) for r in alone] == [("t2", True), ("t0", True), ("t1", False)]
+    assert {r.alert_id for r in stateful.alert_runs(m).collect()} == {r.alert_id for r in alerts.forward(m, ts="event_time").collect()}
+
+
+def test_windows_without_a_common_measure(spark):
+    rng = random.Random(8)
+    limits = {"a": (7_000_003, 2), "b": (86_399_000_017, 3), "c": (1, 1)}
+    start = 1_700_000_000_000_000
+    rows = [(i, rng.choice("abcd"), rng.choice("xy"), start + rng.randrange(200_000_000_000)) for i in range(600)]
+    want, seen = set(), {}
+    for i, r, k, t in sorted(rows, key=lambda x: (x[3], x[0])):
+        if r in limits:
+            kept = [x for x in seen.get((r, k), []) if x >= t - limits[r][0]] + [t]
+            seen[r, k] = kept
+            if len(kept) == limits[r][1]:
+                want.add(i)
+    df = spark.createDataFrame(rows, "i int, rule string, k string, t long")
+    assert {r.i for r in stateful.thresholds_crossed(df, limits, "rule", "k", "t", ["i"]).collect()} == want
+
+
 def test_resolving_listing_and_ids(spark):
     runs = stateful.alert_runs(matches(spark, [("r", "a", 0), ("r", "b", 9)]))
     first = runs.where("dedup = 'a'").select("alert_id")

@@ -52,11 +52,16 @@ def _v6(name: str):
     return test
 
 
+def _bound(c: Column, f) -> Column:
+    """f(c), with c written out and worked out once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _both(c: Column, v4, name: str, v6: bool) -> Column:
-    number = ipv4_number(c)
+    test = _bound(_bound(c, ipv4_number), lambda n: F.when(n.isNotNull(), v4(n)))
     if not v6:
-        return F.when(number.isNotNull(), v4(number))
-    return F.when(number.isNotNull(), v4(number)).when(c.contains(":"), _v6(name)(F.when(c.contains(":"), c)))
+        return test
+    return F.coalesce(test, _v6(name)(F.when(c.contains(":"), c)))
 
 
 def is_global(c: Column, v6: bool = False) -> Column:

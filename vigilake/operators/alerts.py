@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.ids import alert_id, dedup_key
 from vigilake.functions.text import slack_escaped, truncated
 
-from .stateful import PERIOD_MINUTES, alert_runs
+from .stateful import PERIOD_MINUTES, alerted
 
 # Colours by severity.
 COLOURS = {"CRITICAL": "#d32f2f", "HIGH": "#f57c00", "MEDIUM": "#fbc02d", "LOW": "#689f38", "INFO": "#1976d2", "DEFAULT": "#fbc02d"}
@@ -22,16 +23,15 @@ def with_dedup(matches: DataFrame) -> DataFrame:
 
 
 def forward(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "eventTime") -> DataFrame:
-    """Every match with its alert. ``is_new_alert`` marks the match that opened it; whether others go out is the sink's affair."""
-    rows = with_dedup(matches)
-    alerts = alert_runs(rows, period_minutes, open_alerts, ts).select("alert_id", "rule_id", "dedup", "dedup_key", "created_at", "updated_at", "resolved_at")
-    m, a = rows.alias("m"), alerts.alias("a")
-    within = (F.col(f"m.{ts}") >= F.col("a.created_at")) & (F.col("a.resolved_at").isNull() | (F.col(f"m.{ts}") < F.col("a.resolved_at")))
-    joined = m.join(a, (F.col("m.rule_id") == F.col("a.rule_id")) & (F.col("m.dedup") == F.col("a.dedup")) & within)
+    """Every match with its alert. ``is_new_alert`` marks the one match that opened it; whether others go out is the sink's affair."""
+    rows = alerted(with_dedup(matches), period_minutes, open_alerts, ts).where("_updated is null")
     present = [c for c in CONTEXT if c in matches.columns]
-    context = F.create_map(*(x for c in present for x in (F.lit(c), F.coalesce(F.col(f"m.{c}").cast("string"), F.lit(""))))) if present else F.create_map().cast("map<string,string>")
+    context = F.create_map(*(x for c in present for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))))) if present else F.create_map().cast("map<string,string>")
     time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return joined.select("m.*", "a.alert_id", "a.dedup_key", context.alias("alert_context"), time("a.created_at").alias("alert_created"), time(f"m.{ts}").alias("alert_updated"), (F.col(f"m.{ts}") == F.col("a.created_at")).alias("is_new_alert"))
+    return rows.select(
+        *matches.columns, alert_id(F.col("rule_id"), F.col("dedup"), F.col("_created")).alias("alert_id"), dedup_key(F.col("rule_id"), F.col("dedup")).alias("dedup_key"), context.alias("alert_context"),
+        time(F.timestamp_micros("_created")).alias("alert_created"), time(ts).alias("alert_updated"), F.col("_new").alias("is_new_alert"),
+    )
 
 
 def colour(severity: Column) -> Column:

@@ -8,15 +8,17 @@ pass, which are then put through the stateful operators.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.rules.model import Event, FirstSeen, Rule, Threshold
-from vigilake.rules.registry import PACKS, log_types, prepared, rules_of
+from vigilake.rules.registry import PACKS, log_types, pack_rules, prepared
+from vigilake.sources.scratch import Scratch
 
 from .classify import infer_log_type, with_payload
 from .stateful import event_time, first_seen, micros, thresholds_crossed
@@ -50,10 +52,10 @@ class RuleSet:
         self.own.append((make, types))
         return self
 
-    def build(self, payload: Column, log_type: Column, packs: list[str] | None = None) -> list[tuple[list[Rule], tuple[str, ...] | None]]:
-        own_log_type = log_type if self.mode == "intended" else None
-        found = [(rules_of(p, payload, own_log_type, self.mode, **self.options.get(p, {})), log_types(p, self.mode)) for p in (self.packs if packs is None else packs)]
-        return found + [(make(Event(payload, log_type)), types) for make, types in self.own]
+    def build(self, packs: list[str] | None = None) -> list[tuple[list[Rule], tuple[str, ...] | None]]:
+        """Rules over the columns payload and log_type."""
+        found = [(pack_rules(p, self.mode == "intended", self.mode, **self.options.get(p, {})), log_types(p, self.mode)) for p in (self.packs if packs is None else packs)]
+        return found + [(make(Event(F.col("payload"), F.col("log_type"))), types) for make, types in self.own]
 
 
 def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True) -> Analysis:
@@ -74,7 +76,7 @@ def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ..
         events = events.where(F.col("log_type").isin(*only))
     packs = [p for p in rules.packs if only is None or set(log_types(p, rules.mode)) & set(only)]
     events = prepared(events, packs)
-    built = [(rs, types) for rs, types in rules.build(F.col("payload"), F.col("log_type"), packs) if rs and (only is None or types is None or set(types) & set(only))]
+    built = [(rs, types) for rs, types in rules.build(packs) if rs and (only is None or types is None or set(types) & set(only))]
     none = F.array().cast(f"array<{_HIT}>")
     parts = {}
     for i, (rs, types) in enumerate(built):
@@ -99,27 +101,55 @@ def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ..
             parts_.append(first_seen(found.where(F.col("rule_id").isin(*firsts)), ["rule_id", "state"], ["_at", *seq], seen))
         found = reduce(lambda a, b: a.unionByName(b), parts_)
     matches = found.drop("_at", "state")
-
-    events = events.drop("_k8s", "_common")
-    spark = events.sparkSession
     by_rule = [(r.rule_id, t) for rs, types in built for r in rs for t in (types or (None,))]
-    index = spark.createDataFrame(by_rule or [("", "")], "rule_id string, t string").where("rule_id <> ''")
+    return Analysis(matches, _evaluations(events.drop("_k8s", "_common"), by_rule, matches))
+
+
+def _evaluations(events: DataFrame, by_rule: list[tuple[str, str | None]], matches: DataFrame) -> DataFrame:
+    """rule_id, match, no_match; by_rule: rules and the log types they apply to, null for all."""
+    index = events.sparkSession.createDataFrame(by_rule or [("", "")], "rule_id string, t string").where("rule_id <> ''")
     types = events.groupBy("log_type").agg(F.count(F.lit(1)).alias("events"))
     totals = types.join(F.broadcast(index), F.col("t").isNull() | (F.col("t") == F.col("log_type"))).groupBy("rule_id").agg(F.sum("events").alias("events"))
     counts = matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("match"))
-    evaluations = totals.join(counts, "rule_id", "left").select("rule_id", F.coalesce("match", F.lit(0)).alias("match"), (F.col("events") - F.coalesce("match", F.lit(0))).alias("no_match")).orderBy("rule_id")
-    return Analysis(matches, evaluations)
-
+    return totals.join(counts, "rule_id", "left").select("rule_id", F.coalesce("match", F.lit(0)).alias("match"), (F.col("events") - F.coalesce("match", F.lit(0))).alias("no_match")).orderBy("rule_id")
 
-def with_reference(matches: DataFrame) -> DataFrame:
-    """matches with detection_ref, rule and event in one text."""
-    return matches.withColumn("detection_ref", F.concat(F.col("rule_id"), F.lit(":"), F.coalesce(F.nullif("eventID", F.lit("")), F.lit("unknown"))))
 
+def analyze_by_pack(events: DataFrame, rules: RuleSet | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True, scratch: Scratch | None = None, threads: int = 8) -> Analysis:
+    """The same as analyze(), for classified events and any number of packs.
 
-def candidates(rules: DataFrame, events: DataFrame) -> DataFrame:
-    """The rule index as a table join: rules (rule_id, types: array, null for all) that apply to each event's log type. rules is a table of a few hundred rows."""
-    return events.join(F.broadcast(rules), F.col("types").isNull() | F.array_contains("types", F.col("log_type")))
+    What rules read is written once, by log type, so classification is not part
+    of any rule's plan. Each pack whose log types occur then reads those alone,
+    in a plan of its own; several are planned and run at a time. Plans thus grow
+    with a pack, not with the number of rules, and a lost executor costs a
+    task's work. The tables are in ``scratch``, whose owner deletes them.
+    """
+    rules = rules or RuleSet()
+    if "payload" not in events.columns:
+        events = with_payload(events, rules.mode)
+    spark, scratch = events.sparkSession, scratch or Scratch(events.sparkSession)
+    held = [c for c in keep if c in events.columns]
+    stored = scratch.written(events.select(*dict.fromkeys([*held, "payload", "log_type"])), "log_type")
+    present = {r.log_type for r in stored.select("log_type").distinct().collect()}  # at most one for each format
+    groups = [(RuleSet(rules.mode, [p], rules.options), tuple(sorted(set(log_types(p, rules.mode)) & present))) for p in rules.packs]
+    groups = [(part, types) for part, types in groups if types]
+    if rules.own:
+        own = RuleSet(rules.mode, [], rules.options)
+        own.own = rules.own
+        groups.append((own, None))
+
+    def run(group: tuple[RuleSet, tuple[str, ...] | None]) -> tuple[DataFrame, list]:
+        part, types = group
+        found = analyze(stored, part, types, keep, seen, stateful)
+        by_rule = [(r.rule_id, t) for rs, ts in part.build() for r in rs for t in (ts or (None,))]
+        return scratch.written(found.matches), by_rule
+
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(run), groups))
+    columns = "log_type string, " + "".join(f"`{c}` {stored.schema[c].dataType.simpleString()}, " for c in held) + "rule_id string, title string, severity string, dedup string"
+    matches = reduce(lambda a, b: a.unionByName(b), [m for m, _ in done]) if done else spark.createDataFrame([], columns)
+    return Analysis(matches, _evaluations(stored, [x for _, by_rule in done for x in by_rule], matches))
 
 
-def any_rule(predicates: list[Column]) -> Column:
-    return reduce(or_, predicates, F.lit(False))
+def with_reference(matches: DataFrame) -> DataFrame:
+    """matches with detection_ref, rule and event in one text."""
+    return matches.withColumn("detection_ref", F.concat(F.col("rule_id"), F.lit(":"), F.coalesce(F.nullif("eventID", F.lit("")), F.lit("unknown"))))

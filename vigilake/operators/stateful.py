@@ -6,11 +6,11 @@ All take an order (a time, then a tie breaker) instead of relying on arrival.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lcm
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from vigilake.functions.ids import alert_id, dedup_key
 
@@ -48,15 +48,17 @@ def threshold_crossed(df: DataFrame, keys: list[str], ts: str, order: list[str],
 def thresholds_crossed(df: DataFrame, rules: dict[str, tuple[int, int]], rule: str, key: str, ts: str, order: list[str]) -> DataFrame:
     """The same for several rules in one pass; rules: rule_id to (window, count).
 
-    Each rule's times are stretched so that all windows are as long as their
-    least common multiple, and one frame serves all.
+    Rows are sorted once; each different length of window is a frame over that.
     """
     if not rules:
         return df.limit(0)
-    span = lcm(*(w for w, _ in rules.values()))
-    table = lambda i: F.create_map(*(x for r, v in rules.items() for x in (F.lit(r), F.lit(span // v[0] if i == 0 else v[1]).cast("bigint"))))
-    scaled = df.withColumn("_ts", F.col(ts) * F.try_element_at(table(0), F.col(rule)))
-    return window_count(scaled, [rule, key], "_ts", order, span, "_n").where(F.col("_n") == F.try_element_at(table(1), F.col(rule))).drop("_ts", "_n")
+    of = lambda k: F.try_element_at(F.create_map(*(x for r, v in rules.items() for x in (F.lit(r), F.lit(v[k]).cast("bigint")))), F.col(rule))
+    upto = F.row_number().over(Window.partitionBy(rule, key).orderBy(ts, *order))
+    gone = F.lit(0).cast("bigint")
+    for w in sorted({w for w, _ in rules.values()}):
+        past = F.count(F.lit(1)).over(Window.partitionBy(rule, key).orderBy(ts).rangeBetween(Window.unboundedPreceding, -(w + 1)))
+        gone = F.when(of(0) == w, past).otherwise(gone)
+    return df.where(of(0).isNotNull()).withColumn("_n", upto - gone).where(F.col("_n") == of(1)).drop("_n")
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str], seen: DataFrame | None = None) -> DataFrame:
@@ -74,7 +76,41 @@ def dedup_events(df: DataFrame, keys: tuple[str, ...] = ("log_type", "eventID"),
 
 
 PERIOD_MINUTES = 60
-_FOLDED = "rule_id string, dedup string, created long, updated long, hits long, title string, severity string, resolved long"
+
+
+def alerted(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None) -> DataFrame:
+    """matches with ``_created``, when their alert was created, in microseconds, and ``_new``, whether they opened it.
+
+    Of equal times the first by ``seq``, title and severity comes first. A match
+    before an alert that is already open belongs to it. ``open_alerts`` come out
+    too, as rows of which only rule_id, dedup, title, severity, ``_created`` and
+    ``_updated`` are set; ``_updated`` is null for matches.
+
+    Rows are sorted within partitions and marked as they stream by, so a key of
+    any number of matches takes constant memory.
+    """
+    period = period_minutes * 60_000_000
+    rows = matches.withColumns({"_t": micros(F.col(ts)), "_s": (F.col(seq) if seq else F.lit(0)).cast("long"), "_updated": F.lit(None).cast("long")})
+    if open_alerts is not None:
+        before = open_alerts.select("rule_id", "dedup", "title", "severity", micros(F.col("created_at")).alias("_t"), F.lit(-1).cast("long").alias("_s"), micros(F.col("updated_at")).alias("_updated"))
+        rows = rows.unionByName(before, allowMissingColumns=True)
+    ordered = rows.repartition("rule_id", "dedup").sortWithinPartitions("rule_id", "dedup", F.col("_updated").isNull(), "_t", "_s", "title", "severity")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start = None, None
+        for batch in batches:
+            created, new = [], []
+            for rule_id, dedup, t, updated in zip(*(batch.column(c).to_pylist() for c in ("rule_id", "dedup", "_t", "_updated")), strict=True):
+                if (rule_id, dedup) != key:
+                    key, start = (rule_id, dedup), None
+                opens = start is None or (updated is None and start < t - period)
+                start = t if opens else start
+                created.append(start)
+                new.append(opens and updated is None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(created, pa.int64()), pa.array(new, pa.bool_())], names=[*batch.schema.names, "_created", "_new"])
+
+    schema = StructType([*ordered.schema.fields, StructField("_created", LongType()), StructField("_new", BooleanType())])
+    return ordered.mapInArrow(mark, schema)
 
 
 def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None) -> DataFrame:
@@ -86,38 +122,13 @@ def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_al
     another. An alert's title and severity are those of its last match. Alerts
     still open from before are given as ``open_alerts`` (rule_id, dedup,
     created_at, updated_at, title, severity).
-
-    Rows are sorted within partitions and folded as they stream by, so a key of
-    any number of matches takes constant memory.
     """
-    period = period_minutes * 60_000_000
-    rows = matches.select("rule_id", "dedup", micros(F.col(ts)).alias("t"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("s"), "title", "severity", F.lit(None).cast("long").alias("u"))
-    if open_alerts is not None:
-        rows = rows.unionByName(open_alerts.select("rule_id", "dedup", micros(F.col("created_at")).alias("t"), F.lit(-1).cast("long").alias("s"), "title", "severity", micros(F.col("updated_at")).alias("u")))
-    ordered = rows.repartition("rule_id", "dedup").sortWithinPartitions("rule_id", "dedup", F.col("u").isNull(), "t", "s", "title", "severity")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, alert = None, None
-        for pdf in batches:
-            out = []
-            for rule_id, dedup, t, _, title, severity, u in pdf.itertuples(index=False):
-                if (rule_id, dedup) != key:
-                    if alert:
-                        out.append((*key, *alert, None))
-                    key, alert = (rule_id, dedup), None
-                if alert is None:
-                    alert = [t, t if pd.isna(u) else int(u), int(pd.isna(u)), title, severity]
-                elif alert[0] < t - period:
-                    out.append((*key, *alert, t))
-                    alert = [t, t, 1, title, severity]
-                else:
-                    alert = [alert[0], max(alert[1], t), alert[2] + 1, title, severity]
-            yield pd.DataFrame(out, columns=["rule_id", "dedup", "created", "updated", "hits", "title", "severity", "resolved"])
-        if alert:
-            yield pd.DataFrame([(*key, *alert, None)], columns=["rule_id", "dedup", "created", "updated", "hits", "title", "severity", "resolved"])
-
-    found = ordered.mapInPandas(fold, _FOLDED)
-    return found.select(
+    kept = matches.select("rule_id", "dedup", "title", "severity", ts, *([seq] if seq else []))
+    rows = alerted(kept, period_minutes, open_alerts, ts, seq)
+    last = F.struct(F.col("_updated").isNull(), "_t", "_s", "title", "severity")
+    runs = rows.groupBy("rule_id", "dedup", F.col("_created").alias("created")).agg(F.max(F.coalesce("_updated", "_t")).alias("updated"), F.count_if(F.col("_updated").isNull()).alias("hits"), F.max_by(F.struct("title", "severity"), last).alias("last"))
+    resolved = F.lead("created").over(Window.partitionBy("rule_id", "dedup").orderBy("created"))
+    return runs.withColumn("resolved", resolved).select(
         alert_id(F.col("rule_id"), F.col("dedup"), F.col("created")).alias("alert_id"),
         "rule_id",
         "dedup",
@@ -125,8 +136,8 @@ def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_al
         F.timestamp_micros("created").alias("created_at"),
         F.timestamp_micros("updated").alias("updated_at"),
         F.timestamp_micros("resolved").alias("resolved_at"),
-        "title",
-        "severity",
+        "last.title",
+        "last.severity",
         "hits",
     )
 

@@ -4,29 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilake.operators.classify import classify, with_payload
-from vigilake.operators.detect import Analysis, RuleSet, analyze
+from vigilake.operators.classify import classify
+from vigilake.operators.detect import Analysis, RuleSet, analyze_by_pack
 from vigilake.operators.stateful import dedup_events
 from vigilake.sources import files, lake
 from vigilake.sources.notifications import split_batches, unwrap_envelopes
+from vigilake.sources.scratch import Scratch
 
 
-def once(spark: SparkSession, *paths: str, rules: RuleSet | None = None, whole: bool = False) -> Analysis:
+def once(spark: SparkSession, *paths: str, rules: RuleSet | None = None, whole: bool = False, scratch: Scratch | None = None) -> Analysis:
     """Matches of the records in files."""
-    rules = rules or RuleSet()
-    return analyze(with_payload(classify(files.read_lines(spark, *paths, whole=whole)), rules.mode), rules)
+    return batch(files.read_lines(spark, *paths, whole=whole), rules, scratch=scratch)
 
 
-def batch(lines: DataFrame, rules: RuleSet | None = None, hint: str | None = None, dedup: bool = False, lake_root: str | None = None, spread: int | None = None) -> Analysis:
+def batch(lines: DataFrame, rules: RuleSet | None = None, hint: str | None = None, dedup: bool = False, lake_root: str | None = None, spread: int | None = None, seen: DataFrame | None = None, stateful: bool = True, scratch: Scratch | None = None) -> Analysis:
     """Matches of raw records. With ``dedup`` an event counts once; with ``lake_root`` the events are kept; ``spread`` deals records of few files out to that many tasks."""
-    rules = rules or RuleSet()
     events = classify(lines.repartition(spread) if spread else lines, hint=hint)
     if dedup:
         events = dedup_events(events)
+    scratch = scratch or Scratch(lines.sparkSession)
     if lake_root:
-        events = events.persist()
+        events = scratch.written(events)
         lake.write(events.drop("_raw"), lake_root)
-    return analyze(with_payload(events, rules.mode), rules)
+    return analyze_by_pack(events, rules, seen=seen, stateful=stateful, scratch=scratch)
 
 
 def messages(df: DataFrame, rules: RuleSet | None = None, body: str = "body", **options) -> Analysis:
@@ -35,6 +35,11 @@ def messages(df: DataFrame, rules: RuleSet | None = None, body: str = "body", **
 
 
 def watch(spark: SparkSession, path: str, checkpoint: str, write, rules: RuleSet | None = None, every: str | None = None):
-    """A stream over a directory of log files; write(Analysis) gets each micro-batch."""
+    """A stream over a directory of log files; write(Analysis) gets each micro-batch, whose tables are deleted behind it."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return files.stream_lines(spark, path).writeStream.foreachBatch(lambda df, _: write(batch(df, rules))).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def step(df: DataFrame, _: int) -> None:
+        with Scratch(df.sparkSession) as scratch:
+            write(batch(df, rules, scratch=scratch))
+
+    return files.stream_lines(spark, path).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

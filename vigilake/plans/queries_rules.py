@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import aws
 from vigilake.operators.detect import Analysis, RuleSet, analyze
-from vigilake.rules.code_hosting import injects_shell
+from vigilake.rules.code_hosting import SHELL_INJECTIONS, injects_shell
 from vigilake.rules.model import Event
 
 from .queries_core import load, query
@@ -189,9 +189,6 @@ def helper_actor_cascade(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", Event(payload).actor.alias("actor"))
 
 
-_SHELL = [r"\$\([^)]+\)", r"\$\{[^}]*\$\([^)]+\)[^}]*\}", r"\$\{[^}]*`[^`]+`[^}]*\}", r"<\([^)]+\)", r">\([^)]+\)", r"/bin/(?:sh|bash|dash|zsh)\s+-c\s+", r"""(?:bash|sh)\s+-c\s+['\"]""", r"\\x[0-9a-fA-F]{4,}", r"eval\s*\(\s*\$", r"exec\s*\(\s*\$", r"(?:curl|wget)\s+[^|>]+\|\s*(?:sh|bash)", r"nc\s+[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\s+[0-9]+"]
-
-
-@query("SELECT conv_id, turn, " + " OR ".join("regexp_matches(coalesce(text, ''), '(?im)" + p.replace("'", "''") + "')" for p in _SHELL) + " AS hit FROM conversations")
+@query("SELECT conv_id, turn, " + " OR ".join("regexp_matches(coalesce(text, ''), '(?im)" + p.replace("'", "''") + "')" for p in SHELL_INJECTIONS) + " AS hit FROM conversations")
 def bash_injection(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", injects_shell(F.col("text")).alias("hit"))

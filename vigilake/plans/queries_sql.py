@@ -45,7 +45,7 @@ _BOTH = {
 }
 _DIALECTS = {
     "sql_asof": (
-        "SELECT e.event_id, max_by(q.event_id, struct(q.ts, q.event_id)) AS quote_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e JOIN (SELECT * FROM events WHERE event_type = 'view') q ON q.user_id = e.user_id AND q.ts <= e.ts GROUP BY e.event_id",
+        "SELECT event_id, quote_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quote_id FROM events WHERE event_type IN ('purchase', 'view')) WHERE event_type = 'purchase' AND quote_id IS NOT NULL",
         "SELECT e.event_id, q.event_id AS quote_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) q ON q.user_id = e.user_id AND e.ts >= q.ts",
     ),
     "sql_range_join": (

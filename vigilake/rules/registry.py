@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,18 @@ def prepared(events: DataFrame, packs: list[str]) -> DataFrame:
     return events
 
 
+_BUILT: dict[tuple, list[Rule]] = {}
+
+
+def pack_rules(pack: str, own_type: bool, mode: str, **options) -> list[Rule]:
+    """rules_of() over the columns payload and log_type, built once per session: expressions that name columns fit any table."""
+    context = SparkContext._active_spark_context
+    key = (id(context._gateway if context else None), pack, own_type, mode, repr(sorted(options.items())))
+    if key not in _BUILT:
+        _BUILT[key] = rules_of(pack, F.col("payload"), F.col("log_type") if own_type else None, mode, **options)
+    return _BUILT[key]
+
+
 def rules_of(pack: str, payload: Column, log_type: Column | None = None, mode: str = "reference", **options) -> list[Rule]:
     e = Event(payload, log_type)
     if pack in SHARING:

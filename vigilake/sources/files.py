@@ -21,6 +21,16 @@ def split_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn(raw, F.explode(texts))
 
 
+def _taken(text: DataFrame) -> DataFrame:
+    return text.where((F.length("raw") <= MAX_LINE) & (F.trim("raw") != ""))
+
+
+def too_long(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, lines): how many lines of each file are over MAX_LINE characters, which reading leaves out."""
+    text = spark.read.text(list(paths)).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    return text.where(F.length("raw") > MAX_LINE).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def read_lines(spark: SparkSession, *paths: str, whole: bool = False) -> DataFrame:
     """(raw, file): records of text files, compressed ones too by their suffix.
 
@@ -28,7 +38,7 @@ def read_lines(spark: SparkSession, *paths: str, whole: bool = False) -> DataFra
     ``whole`` each file is one JSON document over many lines; one task reads it.
     """
     text = spark.read.text(list(paths), wholetext=whole).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
-    return split_records(text.where((F.length("raw") <= MAX_LINE) & (F.trim("raw") != "")) if not whole else text)
+    return split_records(_taken(text) if not whole else text)
 
 
 def read_auto(spark: SparkSession, *paths: str, head: int = 1024) -> DataFrame:
@@ -40,11 +50,12 @@ def read_auto(spark: SparkSession, *paths: str, head: int = 1024) -> DataFrame:
     opening = first.where(F.trim("value") != "").groupBy("file").agg(F.first(F.substring("value", 1, head)).alias("line"))
     trimmed = F.trim("line")
     many = opening.where((F.startswith(trimmed, F.lit("[")) | F.startswith(trimmed, F.lit("{"))) & (F.length("line") < head) & F.try_parse_json("line").isNull())
-    documents = [r.file for r in many.collect()]  # file names, not their content
+    many = many.select("file")
+    documents = [r.file for r in many.collect()]  # a reader takes names; the driver lists all of them for any reading
     lines = read_lines(spark, *paths)
     if not documents:
         return lines
-    return lines.where(~F.col("file").isin(*documents)).unionByName(read_lines(spark, *documents, whole=True))
+    return lines.join(many, "file", "left_anti").select("raw", "file").unionByName(read_lines(spark, *documents, whole=True))
 
 
 def read_events(spark: SparkSession, *paths: str) -> DataFrame:
@@ -57,4 +68,4 @@ def stream_lines(spark: SparkSession, path: str, glob: str = "*.json*", max_file
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return split_records(reader.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file")).where(F.trim("raw") != ""))
+    return split_records(_taken(reader.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))))

@@ -67,7 +67,8 @@ def with_hours(events: DataFrame, ts: str = "eventTime") -> DataFrame:
 def write(events: DataFrame, root: str, log_type: str | None = None, format: str = "json", max_records: int = 1_000_000, mode: str = "append", ts: str = "eventTime", by_type: bool = False) -> None:
     """Appends events to root/logs/<slug>/year=/month=/day=/hour=.
 
-    Rows meet by hour first, so a run writes few files for each. Each log type
+    Rows meet by hour first, so a run writes few files for each; an hour of many
+    rows is dealt out to several tasks. Each log type
     is a write of its own, from persisted rows; ``by_type`` writes all in one
     pass instead, under root/logs/log_type=<slug>/.
     """
@@ -79,7 +80,8 @@ def write(events: DataFrame, root: str, log_type: str | None = None, format: str
     else:
         # VARIANT columns are written as the JSON they hold
         rows = rows.withColumns({f.name: F.to_json(f.name) for f in rows.schema if f.dataType.simpleString() == "variant"})
-    rows = rows.repartition("_slug", *PARTITIONS)
+    # meets by hour, and splits an hour that is too much for one task
+    rows = rows.hint("rebalance", "_slug", *PARTITIONS)
 
     def put(part: DataFrame, path: str, *by: str) -> None:
         writer = part.write.mode(mode).option("maxRecordsPerFile", max_records).partitionBy(*by, *PARTITIONS)

@@ -29,9 +29,9 @@ def unprocessed(objects: DataFrame, ledger: DataFrame, keys: tuple[str, ...] = (
 
 
 def after_last(objects: DataFrame, state: DataFrame, key: str = "key") -> DataFrame:
-    """Objects whose key follows the last one processed of their bucket, account and region. state: those three and last_key, few rows."""
+    """Objects whose key follows the last one processed of their bucket, account and region. state: those three and last_key."""
     o = objects.withColumn("_k", cloudtrail_key(F.col(key))).withColumns({"account": F.coalesce("_k.account", F.lit("")), "region": F.coalesce("_k.region", F.lit(""))}).drop("_k")
-    joined = o.join(F.broadcast(state.select("bucket", "account", "region", "last_key")), ["bucket", "account", "region"], "left")
+    joined = o.join(state.select("bucket", "account", "region", "last_key"), ["bucket", "account", "region"], "left")
     return joined.where(F.col("last_key").isNull() | (F.col(key) > F.col("last_key"))).drop("last_key")
 
 

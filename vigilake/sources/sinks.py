@@ -49,16 +49,28 @@ def print_matches(matches: DataFrame, out: Callable[[str], None] = print) -> Non
         out(row.j)
 
 
-def result_table(df: DataFrame) -> str:
-    """A query result as text columns; for results a person reads."""
-    rows = [[("" if v is None else str(v)) for v in r] for r in df.collect()]
+#: More rows than a person reads; larger results belong into a table.
+MOST_SHOWN = 10_000
+
+
+def _shown(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows: write the result to files or aggregate it")
+    return rows
+
+
+def result_table(df: DataFrame, most: int = MOST_SHOWN) -> str:
+    """A query result as text columns; an error if it has over ``most`` rows."""
+    rows = [[("" if v is None else str(v)) for v in r] for r in _shown(df, most)]
     widths = [max([len(c), *(len(r[i]) for r in rows)]) for i, c in enumerate(df.columns)]
     line = lambda cells: "  ".join(x.ljust(w) for x, w in zip(cells, widths, strict=True)).rstrip()
     return "\n".join([line(df.columns), line(["-" * w for w in widths]), *map(line, rows)])
 
 
-def result_json(df: DataFrame) -> str:
-    return "[" + ",".join(df.toJSON().collect()) + "]"
+def result_json(df: DataFrame, most: int = MOST_SHOWN) -> str:
+    """A query result as a JSON list; an error if it has over ``most`` rows."""
+    return "[" + ",".join(r[0] for r in _shown(df.select(F.to_json(F.struct("*"))), most)) + "]"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
