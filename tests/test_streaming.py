@@ -88,3 +88,71 @@ def test_tail_through_rotation_and_truncation(tmp_path):
     (tmp_path / "new").write_text("fresh line\n")
     (tmp_path / "new").rename(path)
     assert tail.advance(str(path), off)[0] == ["fresh line"]
+
+
+def stateful_rules():
+    from vigilake.rules.model import FirstSeen, Threshold
+
+    return RuleSet("intended", []).add(
+        lambda e: [
+            e.rule("three", e.named("Try"), state=Threshold(e.s("who"), 600, 3)),
+            e.rule("new", e.named("Clone"), state=FirstSeen(e.s("who"))),
+        ],
+        ("AWS.CloudTrail",),
+    )
+
+
+def record(i, name, who, minute):
+    return json.dumps({"eventID": f"{i:03}", "eventName": name, "who": who, "eventTime": at(minute), "eventSource": "x"})
+
+
+def test_rules_remember_earlier_micro_batches(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    parts = [
+        [record(1, "Try", "a", 0), record(2, "Try", "a", 1), record(3, "Clone", "b", 0)],
+        [record(4, "Try", "a", 5), record(5, "Clone", "b", 1), record(6, "Clone", "c", 1), record(7, "Try", "d", 5)],
+        [record(8, "Try", "a", 9), record(9, "Try", "d", 6), record(10, "Clone", "c", 9)],
+        [record(11, "Try", "d", 60 * 24 * 9), record(12, "Try", "d", 7)],
+    ]
+    seen = []
+    write = lambda a: seen.append(sorted((r.rule_id, r.eventID) for r in a.matches.collect()))
+    for k, rows in enumerate(parts):  # the stream is stopped and started again between them
+        (tmp_path / f"logs/{k}.jsonl").write_text("\n".join(rows))
+        modes.watch(spark, str(tmp_path / "logs"), str(tmp_path / "cp"), write, stateful_rules()).awaitTermination()
+    assert seen == [[("new", "003")], [("new", "006"), ("three", "004")], [], [("three", "012")]]
+    kept = sorted(p.name for p in (tmp_path / "cp/rules/hits").glob("*/*"))
+    assert len(kept) == 1  # what no window reaches any more is forgotten
+
+
+def test_a_queue_is_acknowledged_behind_the_sink(spark, tmp_path):
+    queue, seen = tmp_path / "queue", []
+    queue.mkdir()
+    envelope = {"source": "aws.cloudtrail", "detail-type": "AWS API Call via CloudTrail", "detail": json.loads(record(1, "Clone", "x", 0))}
+    bodies = [json.dumps(envelope), record(2, "Clone", "y", 0), "[" + record(3, "Clone", "x", 1) + "," + record(4, "Clone", "z", 1) + "]"]
+    for k, body in enumerate(bodies):
+        (queue / f"{k:04}").write_text(body)
+
+    def failing(_):
+        raise ValueError("sink")
+
+    q = modes.consume(spark, str(queue), str(tmp_path / "cp"), failing, stateful_rules())
+    try:
+        q.awaitTermination()
+    except Exception as e:
+        assert "sink" in str(e)
+    assert len(list(queue.iterdir())) == 3
+    for _ in range(2):  # the second run commits what the first has done
+        modes.consume(spark, str(queue), str(tmp_path / "cp"), lambda a: seen.extend(sorted(r.eventID for r in a.matches.collect())), stateful_rules()).awaitTermination()
+        (queue / "0009").write_text(record(9, "Clone", "x", 3))
+    assert seen == ["001", "002", "004"] and not [p for p in queue.iterdir() if p.name < "0009"]
+
+
+def test_notified_objects_are_read(spark, tmp_path):
+    (tmp_path / "store/b/logs").mkdir(parents=True)
+    (tmp_path / "queue").mkdir()
+    (tmp_path / "store/b/logs/a.json").write_text(record(1, "Clone", "x", 0))
+    body = {"Records": [{"eventName": "ObjectCreated:Put", "s3": {"bucket": {"name": "b"}, "object": {"key": "logs/a.json"}}}]}
+    (tmp_path / "queue/1").write_text(json.dumps({"Type": "Notification", "Message": json.dumps(body)}))
+    seen = []
+    modes.consume_notifications(spark, str(tmp_path / "queue"), str(tmp_path / "store"), str(tmp_path / "cp"), lambda a: seen.extend(r.eventID for r in a.matches.collect()), stateful_rules()).awaitTermination()
+    assert seen == ["001"]

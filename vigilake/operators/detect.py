@@ -32,6 +32,8 @@ class Analysis:
     matches: DataFrame
     #: rule_id, match, no_match
     evaluations: DataFrame
+    #: hits of rules with state, whatever came of them: rule_id, state, _at, title and eventID; what later runs need as ``past``
+    stateful: DataFrame | None = None
 
 
 def _hit(r: Rule) -> Column:
@@ -58,16 +60,8 @@ class RuleSet:
         return found + [(make(Event(F.col("payload"), F.col("log_type"))), types) for make, types in self.own]
 
 
-def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True) -> Analysis:
-    """Matches of the rules, and how often each rule has been evaluated.
-
-    events: the classified ones, or any rows with a VARIANT ``payload``; without
-    a log_type, it is inferred. ``only`` names the log types that can occur,
-    which leaves the other packs out of the plan. ``seen`` (rule_id, state) are
-    keys of first-seen rules from before. Without ``stateful``, rules with state
-    match whenever their predicate does.
-    """
-    rules = rules or RuleSet()
+def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str], dict, list]:
+    """The events, the hits of all rules (kept columns, _at, rule_id, title, severity, dedup, state), the kept columns, the rules' states, and (rule, log type) pairs."""
     if "payload" not in events.columns:
         events = with_payload(events, rules.mode)
     if "log_type" not in events.columns:
@@ -87,22 +81,42 @@ def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ..
     base = events.select("log_type", *held, event_time(F.col("payload"), order).alias("_at"), *(c.alias(n) for n, c in parts.items()))
     hits = base.withColumn("_hits", F.flatten(F.array(*parts)) if parts else none).drop(*parts)
     found = hits.where(F.size("_hits") > 0).select("log_type", *held, "_at", F.explode("_hits").alias("_h")).select("log_type", *held, "_at", "_h.*")
-
     states = {r.rule_id: r.state for rs, _ in built for r in rs if r.state is not None}
-    if stateful and states:
-        seq = [c for c in ("eventID",) if c in held] + ["title"]
-        limits = {k: (s.seconds * 1_000_000, s.count) for k, s in states.items() if isinstance(s, Threshold)}
-        firsts = [k for k, s in states.items() if isinstance(s, FirstSeen)]
-        parts_ = [found.where(~F.col("rule_id").isin(*states))]
-        if limits:
-            candidates = found.where(F.col("rule_id").isin(*limits)).withColumn("_us", micros(F.col("_at")))
-            parts_.append(thresholds_crossed(candidates, limits, "rule_id", "state", "_us", seq).drop("_us"))
-        if firsts:
-            parts_.append(first_seen(found.where(F.col("rule_id").isin(*firsts)), ["rule_id", "state"], ["_at", *seq], seen))
-        found = reduce(lambda a, b: a.unionByName(b), parts_)
-    matches = found.drop("_at", "state")
     by_rule = [(r.rule_id, t) for rs, types in built for r in rs for t in (types or (None,))]
-    return Analysis(matches, _evaluations(events.drop("_k8s", "_common"), by_rule, matches))
+    return events.drop("_k8s", "_common"), found, held, states, by_rule
+
+
+def _settled(found: DataFrame, states: dict, held: list[str], seen: DataFrame | None, past: DataFrame | None) -> DataFrame:
+    """The hits that are matches once rules with state have had their say."""
+    seq = [c for c in ("eventID",) if c in held] + ["title"]
+    limits = {k: (s.seconds * 1_000_000, s.count) for k, s in states.items() if isinstance(s, Threshold)}
+    firsts = [k for k, s in states.items() if isinstance(s, FirstSeen)]
+    parts = [found.where(~F.col("rule_id").isin(*states))]
+    if limits:
+        candidates = found.where(F.col("rule_id").isin(*limits)).withColumn("_now", F.lit(True))
+        if past is not None:
+            candidates = candidates.unionByName(past.where(F.col("rule_id").isin(*limits)).select("rule_id", "state", "_at", *seq), allowMissingColumns=True)
+        crossed = thresholds_crossed(candidates.withColumn("_us", micros(F.col("_at"))), limits, "rule_id", "state", "_us", seq)
+        parts.append(crossed.where("_now").drop("_us", "_now"))
+    if firsts:
+        parts.append(first_seen(found.where(F.col("rule_id").isin(*firsts)), ["rule_id", "state"], ["_at", *seq], seen))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def analyze(events: DataFrame, rules: RuleSet | None = None, only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True, past: DataFrame | None = None) -> Analysis:
+    """Matches of the rules, and how often each rule has been evaluated.
+
+    events: the classified ones, or any rows with a VARIANT ``payload``; without
+    a log_type, it is inferred. ``only`` names the log types that can occur,
+    which leaves the other packs out of the plan. ``seen`` (rule_id, state) are
+    keys of first-seen rules from before, ``past`` earlier hits of rules with
+    windows. Without ``stateful``, rules with state match whenever their
+    predicate does. For many packs see analyze_by_pack().
+    """
+    events, found, held, states, by_rule = _found(events, rules or RuleSet(), only, keep)
+    settled = _settled(found, states, held, seen, past) if stateful and states else found
+    matches = settled.drop("_at", "state")
+    return Analysis(matches, _evaluations(events, by_rule, matches), found.where(F.col("rule_id").isin(*states)) if states else None)
 
 
 def _evaluations(events: DataFrame, by_rule: list[tuple[str, str | None]], matches: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def _evaluations(events: DataFrame, by_rule: list[tuple[str, str | None]], match
     return totals.join(counts, "rule_id", "left").select("rule_id", F.coalesce("match", F.lit(0)).alias("match"), (F.col("events") - F.coalesce("match", F.lit(0))).alias("no_match")).orderBy("rule_id")
 
 
-def analyze_by_pack(events: DataFrame, rules: RuleSet | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True, scratch: Scratch | None = None, threads: int = 8) -> Analysis:
+def analyze_by_pack(events: DataFrame, rules: RuleSet | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), seen: DataFrame | None = None, stateful: bool = True, past: DataFrame | None = None, scratch: Scratch | None = None, threads: int = 8) -> Analysis:
     """The same as analyze(), for classified events and any number of packs.
 
     What rules read is written once, by log type, so classification is not part
@@ -137,17 +151,18 @@ def analyze_by_pack(events: DataFrame, rules: RuleSet | None = None, keep: tuple
         own.own = rules.own
         groups.append((own, None))
 
-    def run(group: tuple[RuleSet, tuple[str, ...] | None]) -> tuple[DataFrame, list]:
-        part, types = group
-        found = analyze(stored, part, types, keep, seen, stateful)
-        by_rule = [(r.rule_id, t) for rs, ts in part.build() for r in rs for t in (ts or (None,))]
-        return scratch.written(found.matches), by_rule
+    def run(group: tuple[RuleSet, tuple[str, ...] | None]) -> tuple[DataFrame, dict, list]:
+        _, found, _, states, by_rule = _found(stored, *group, keep)
+        return scratch.written(found), states, by_rule
 
     with ThreadPoolExecutor(max(1, threads)) as pool:
         done = list(pool.map(inheritable_thread_target(spark)(run), groups))
-    columns = "log_type string, " + "".join(f"`{c}` {stored.schema[c].dataType.simpleString()}, " for c in held) + "rule_id string, title string, severity string, dedup string"
-    matches = reduce(lambda a, b: a.unionByName(b), [m for m, _ in done]) if done else spark.createDataFrame([], columns)
-    return Analysis(matches, _evaluations(stored, [x for _, by_rule in done for x in by_rule], matches))
+    columns = "log_type string, " + "".join(f"`{c}` {stored.schema[c].dataType.simpleString()}, " for c in held) + "_at timestamp, rule_id string, title string, severity string, dedup string, state string"
+    found = reduce(lambda a, b: a.unionByName(b), [x for x, _, _ in done]) if done else spark.createDataFrame([], columns)
+    states = {k: v for _, own_states, _ in done for k, v in own_states.items()}
+    settled = scratch.written(_settled(found, states, held, seen, past)) if stateful and states else found
+    matches = settled.drop("_at", "state")
+    return Analysis(matches, _evaluations(stored, [x for _, _, by_rule in done for x in by_rule], matches), found.where(F.col("rule_id").isin(*states)) if states else None)
 
 
 def with_reference(matches: DataFrame) -> DataFrame:
