@@ -554,6 +554,27 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < d.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(6, 1, 0), (7, 1, 0), (8, 0, 0), (0, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    long = next(t for i, t in texts(odd) if i == 50)
+    more = spark.createDataFrame([(50, "another text of the same id", "en", "s", 1), (49, long, "en", "s", 1), (None, "no id at all", "en", "s", 1)], SCHEMA)
+    df = clashing(odd.unionByName(more)).withColumn("group", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf)
+        assert name == "encoded" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        assert stage(spark, df.limit(0), sf).count() == 0
+    near = Counter((r.doc_id, hash(r.text)) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect())
+    groups = components_by_hand([(k, t) for k, (i, t) in enumerate(sorted(texts(df), key=lambda x: (x[0] is None, x[0], str(x[1]))))], 5, 80)
+    assert max(near.values()) == 1 and near[50, hash("another text of the same id")] == near[None, hash("no id at all")] == near[51, hash(None)] == 1
+    assert sum(near.values()) == len({c for _, c in groups.values()}) and near[50, hash(long)] == 0
+    kept = corpus_pipeline.decontaminated(spark, df, sf)
+    assert {r.doc_id for r in df.join(kept.select(F.col("doc_id").alias("k")), F.col("doc_id") == F.col("k"), "left_anti").collect()} == {4, 5, None}
+
+
 def clashing(df):
     names = ("n_words", "hits", "items", "n_lines", "n_removed", "component_id", "signature", "__id", "repeats", "row", "pos", "found_id", "found_row", "found_repeats", "range", "tokens", "weight", "key", "kept", "good", "id", "host", "path", "main", "h", "size", "cluster", "n")
     return df.withColumns({c: F.concat(F.lit(c), F.lit("-"), F.coalesce(F.col(df.columns[0]).cast("string"), F.lit("none"))) for c in names})

@@ -121,7 +121,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, sure: float = SURE, prior: f
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, weight)."""
+    """(doc_id, row, n_words, weight)."""
     table = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +131,9 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for slots, first in found:
                 sums = np.concatenate(([0.0], np.cumsum(table.value[slots], dtype=np.float64)))
                 total += sums[first[1:]] - sums[first[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n_words.astype(np.int64)), pa.array(np.round(total, 6))], names=["doc_id", "row", "n_words", "weight"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, weight double")
+    return docs.mapInArrow(run, "doc_id long, row long, n_words long, weight double")
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -167,8 +167,8 @@ def kth_largest(table: DataFrame, key: str, k: int) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, sure: float = SURE, prior: float = PRIOR, temperature: float = TEMPERATURE, seed: int = 42) -> DataFrame:
-    """(doc_id, n_words, weight, key, kept) of every row. labels: doc_id, quality, toxic; good is quality 1 and toxic 0."""
-    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    """(doc_id, row, n_words, weight, key, kept) of every row; row, a hash of the text, tells rows of one doc_id apart. labels: doc_id, quality, toxic; good is quality 1 and toxic 0."""
+    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("row"), docs[text].alias("text"))
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.expr("quality = 1 and toxic = 0")).alias("good"))
     rows = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     good = {r.doc_id: r.good for r in rows}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .repeats import Units, later_occurrences, rewritten
 from .textops import SPACED, span_hashes, texts_of
 
-LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 2, 80
+LEAST, MOST, MASK_BITS, MIN_RUN = 24, 256, 2, 120
 #: A run has a cut for each byte, not for each word.
 _RUN_BITS = 3
 
