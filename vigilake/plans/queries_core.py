@@ -247,12 +247,6 @@ def classify_service(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", service_type(source).alias("service"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, CASE WHEN contains(url, '?') THEN regexp_extract(url, '[?]([^#]*)', 1) END AS query FROM pages")
-def parse_html_requests(spark, sf_dir):
-    url = F.col("url")
-    return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^https?://([^/?#]+)", 1).alias("host"), F.when(url.contains("?"), F.regexp_extract(url, "[?]([^#]*)", 1)).alias("query"))
-
-
 # ---- sources ----
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vigilake.operators import alerts, stateful
 from vigilake.operators.classify import parse_as
 from vigilake.operators.detect import RuleSet
+from vigilake.rules import contexts
+from vigilake.rules.model import Event
 
 from . import modes
 from .queries_core import load, query
@@ -233,6 +235,81 @@ def parse_cf_http(spark, sf_dir):
     return _parsed(spark, sf_dir, "Cloudflare.HttpRequest", raw, F.col("sourceIPAddress").alias("ip"))
 
 
+# ---- contexts ----
+
+
+def _context(spark, sf_dir, payload: Column, *columns):
+    """columns: (name, function of the event)."""
+    e = Event(F.col("payload"))
+    rows = load(spark, sf_dir, "events").select("event_id", F.parse_json(payload).alias("payload"))
+    return rows.select("event_id", *(f(e).alias(n) for n, f in columns))
+
+
+@query("SELECT event_id, 'E-' || event_type AS name, '{\"type\":\"' || event_type || '\"}' AS who, CAST(NULL AS VARCHAR) AS agent, CAST(user_id AS VARCHAR) AS severity FROM events")
+def context_aws(spark, sf_dir):
+    payload = _json(eventName=F.concat(F.lit("E-"), F.col("event_type")), userIdentity=F.struct(F.col("event_type").alias("type")), severity=F.col("user_id"))
+    return _context(spark, sf_dir, payload, ("name", lambda e: contexts.aws(e)["eventName"]), ("who", lambda e: contexts.aws(e)["userIdentity"]), ("agent", lambda e: contexts.aws(e)["userAgent"]), ("severity", lambda e: contexts.guardduty(e)["severity"]))
+
+
+@query("SELECT event_id, 'u' || user_id || '@x' AS actor, CASE WHEN user_id % 2 = 0 THEN 'a,shown' ELSE 'a' END AS users, event_type = 'error' AS failed, event_type <> 'error' AS succeeded, '1.2.3.4' AS ip, CASE WHEN user_id % 2 = 0 THEN 'shown' END AS second FROM events")
+def context_okta(spark, sf_dir):
+    even = F.col("user_id") % 2 == 0
+    target = lambda kind, ident, shown: F.struct(kind.alias("type"), ident.alias("alternateId"), shown.alias("displayName"))
+    none = F.lit(None).cast("string")
+    targets = F.array(target(F.lit("User"), F.lit("a"), none), target(F.when(even, "User").otherwise("App"), none, F.when(even, "shown")))
+    payload = _json(actor=F.struct(F.concat(F.lit("u"), _user(), F.lit("@x")).alias("alternateId")), target=targets, outcome=F.struct(F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS").alias("result")), client=F.struct(F.lit("1.2.3.4").alias("ipAddress")))
+    return _context(
+        spark, sf_dir, payload, ("actor", lambda e: contexts.picked(e, contexts.OKTA_ACTOR)["alternateId"]), ("users", lambda e: F.array_join(contexts.okta_target_users(e), ",")), ("failed", contexts.okta_failed), ("succeeded", contexts.okta_succeeded),
+        ("ip", lambda e: contexts.okta(e)["sourceIPAddress"]), ("second", lambda e: Event(contexts.okta_target(e, 1)).s("displayName")),
+    )
+
+
+@query("SELECT event_id, 'a@x' AS principal, CASE WHEN user_id % 2 = 0 THEN 'n' ELSE '' END AS namespace, CASE WHEN user_id % 2 = 0 THEN 'p' ELSE '' END AS pod, '' AS project, CAST(NULL AS VARCHAR) AS project_id, CAST(user_id AS VARCHAR) AS port FROM events")
+def context_gcp(spark, sf_dir):
+    proto = F.struct(_even("core/v1/namespaces/n/pods/p", "core/v1/namespaces/n/services/s").alias("resourceName"), F.struct(F.lit("a@x").alias("principalEmail")).alias("authenticationInfo"))
+    payload = _json(protoPayload=proto, jsonPayload=F.struct(F.struct(F.col("user_id").alias("src_port")).alias("connection")))
+    info = contexts.gcp_k8s_info
+    return _context(
+        spark, sf_dir, payload, ("principal", lambda e: info(e)["principal"]), ("namespace", lambda e: info(e)["namespace"]), ("pod", lambda e: info(e)["pod"]), ("project", lambda e: contexts.gcp(e)["project"]), ("project_id", lambda e: info(e)["project_id"]),
+        ("port", lambda e: contexts.picked(e, contexts.GCP_FLOW)["src_port"]),
+    )
+
+
+@query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'login' ELSE 'sent' END AS actor, CASE user_id % 3 WHEN 0 THEN 'http://pr' WHEN 1 THEN 'http://cmp' ELSE 'http://repo' END AS url, CASE WHEN user_id % 3 = 0 THEN user_id % 2 = 0 END AS crosses, CASE WHEN user_id % 3 = 1 THEN 2 END AS commits, 'o/r' AS repo FROM events")
+def context_github(spark, sf_dir):
+    u = F.col("user_id") % 3
+    side = lambda name: F.struct(F.struct(name.alias("full_name")).alias("repo"))
+    pull = F.struct(F.lit("http://pr").alias("html_url"), side(_even("o/fork", "o/r")).alias("head"), side(F.lit("o/r")).alias("base"))
+    rest = dict(action=F.lit("opened"), repository=F.struct(F.lit("o/r").alias("full_name"), F.lit("http://repo").alias("html_url")), sender=F.struct(F.lit("sent").alias("login")), pull_request=F.when(u == 0, pull), compare=F.when(u == 1, "http://cmp"), pusher=F.when(u == 1, F.struct(F.lit("n").alias("name"))), commits=F.when(u == 1, F.array(F.lit(1), F.lit(2))))
+    payload = F.when(u == 0, _json(actor=F.lit("plain"), **rest)).when(u == 1, _json(actor=F.struct(F.lit("login").alias("login")), **rest)).otherwise(_json(**rest))
+    hook = contexts.github_webhook
+    return _context(spark, sf_dir, payload, ("actor", lambda e: contexts.github(e)["actor"]), ("url", contexts.github_reference_url), ("crosses", lambda e: hook(e)["fork_analysis"]["is_cross_fork"]), ("commits", lambda e: hook(e)["push_details"]["size"]), ("repo", lambda e: hook(e)["repository"]["full_name"]))
+
+
+@query("SELECT event_id, '<MISSING_NAME>' AS slack_name, 'e@x' AS slack_email, 'admin' AS gsuite_event, 'C1' AS customer, 'u@x' AS op_user, 'app' AS op_app, '<Action_NOT_IN_EVENT>' AS cf_action, 'waf' AS cf_source, CAST(user_id AS VARCHAR) AS bot FROM events")
+def context_others(spark, sf_dir):
+    payload = _json(
+        actor=F.struct(F.struct(F.lit("e@x").alias("email")).alias("user")), id=F.struct(F.lit("C1").alias("customerId")), events=F.array(F.struct(F.lit("admin").alias("name"))),
+        target_user=F.struct(F.lit("u@x").alias("email")), client=F.struct(F.lit("app").alias("app_name")), Source=F.lit("waf"), BotScore=F.col("user_id"),
+    )
+    return _context(
+        spark, sf_dir, payload, ("slack_name", lambda e: contexts.slack(e)["actor-name"]), ("slack_email", lambda e: contexts.slack(e)["actor-email"]), ("gsuite_event", contexts.gsuite_event), ("customer", lambda e: contexts.gsuite(e)["customerId"]),
+        ("op_user", lambda e: contexts.picked(e, contexts.ONEPASSWORD_USER)["email"]), ("op_app", lambda e: contexts.onepassword(e)["appName"]), ("cf_action", lambda e: contexts.cloudflare_firewall(e, e.s("Source"))["Action"]),
+        ("cf_source", lambda e: contexts.cloudflare_firewall(e, e.s("Source"))["pan_cf_source"]), ("bot", lambda e: contexts.cloudflare_http(e)["BotScore"]),
+    )
+
+
+@query("SELECT event_id, event_type AS first, CAST(user_id AS VARCHAR) AS last, event_type || ',' || user_id AS all_, 'none' AS missing, CAST(user_id AS VARCHAR) AS k, CAST(2 AS BIGINT) AS n FROM events")
+def helper_walk_and_key_values(spark, sf_dir):
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    items = F.array(F.struct(F.col("event_type").alias("x")), F.struct(_user().alias("x")), F.struct(F.col("event_type").alias("x")))
+    payload = _json(a=F.struct(items.alias("b")), tags=F.array(pair("k", F.lit("old")), pair("z", F.lit("1")), pair("k", _user())))
+    return _context(
+        spark, sf_dir, payload, ("first", lambda e: contexts.walked(e, "a", "b", "x", which="first")), ("last", lambda e: contexts.walked(e, "a", "b", "x", which="last")), ("all_", lambda e: F.array_join(contexts.walked(e, "a", "b", "x"), ",")), ("missing", lambda e: contexts.walked(e, "a", "q", default="none", which="first")),
+        ("k", lambda e: F.try_element_at(contexts.key_values(e.items("tags"), "key", "value"), F.lit("k"))), ("n", lambda e: F.size(contexts.key_values(e.items("tags"), "key", "value")).cast("long")),
+    )
+
+
 # ---- alerts and windows ----
 
 _RULE = "CASE WHEN event_type = 'error' THEN 'errors' ELSE 'others' END"

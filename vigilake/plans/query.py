@@ -10,6 +10,18 @@ from vigilake.functions.text import parse_duration
 from vigilake.sources import lake
 
 HOLE = "{TABLE}"
+#: Where ranges are told apart as recent and historical; both are read alike.
+RECENT_DAYS = 30
+
+
+def tiers(start: datetime, end: datetime, now: datetime | None = None, recent_days: int = RECENT_DAYS) -> list[tuple[str, datetime, datetime]]:
+    """The parts of a range before and behind the cutoff: (historical or recent, start, end). A hint only; a query scans all in one."""
+    cutoff = (now or lake.now()) - timedelta(days=recent_days)
+    if start > cutoff:
+        return [("recent", start, end)]
+    if end < cutoff:
+        return [("historical", start, end)]
+    return [("recent", cutoff, end), ("historical", start, cutoff)]
 
 
 class Lake:

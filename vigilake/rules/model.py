@@ -87,6 +87,9 @@ class Event:
 
     # ---- tests ----
 
+    def is_object(self, path: str) -> Column:
+        return F.startswith(self.kind(path), F.lit("OBJECT"))
+
     def has(self, path: str) -> Column:
         """The path exists and is not JSON null."""
         return self.s(path).isNotNull()

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+def role_settings(bucket: str, role_arn: str) -> dict[str, str]:
+    """Settings with which a bucket of another account is read under a role there."""
+    at = f"spark.hadoop.fs.s3a.bucket.{bucket}."
+    return {at + "aws.credentials.provider": "org.apache.hadoop.fs.s3a.auth.AssumedRoleCredentialProvider", at + "assumed.role.arn": role_arn}
+
+
 def build(app: str = "vigilake", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution. Extra settings: key with dots as underscores doubled, or a dict in ``conf``."""
     b = SparkSession.builder.appName(app)
