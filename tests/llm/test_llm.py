@@ -325,6 +325,45 @@ def test_quality_rules(docs):
     assert quality_rules.distance(*map(__import__("numpy").array, ([1.0, 0], [0, 1.0]))) == pytest.approx(1)
 
 
+def test_distribution_test_by_hand(docs):
+    """References over all documents, Jensen-Shannon distances and verdicts."""
+    kinds = [set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789"), set(" \t\n\v\f\r"), set(".,;:'\"-()")]
+    rows = [(r.doc_id, r.text or "", r.lang if r.lang in quality_rules.COMMON_WORDS else "other") for r in docs.select("doc_id", "text", "lang").collect()]
+
+    def counts(text, lang):
+        by_class = Counter(next((k for k, chars in enumerate(kinds) if c in chars), 5 if c < "\x80" else 6) for c in text)
+        words = ALNUM.findall(text.translate(LOW))
+        common = quality_rules.COMMON_WORDS.get(lang, "").split()
+        seen = Counter(words)
+        return [by_class[k] for k in range(7)], [*(seen[w] for w in common), len(words) - sum(seen[w] for w in common)] if common else None
+
+    made = {k: counts(t, lang) for k, (_, t, lang) in enumerate(rows)}
+    refs = {}
+    for k, (_, _, lang) in enumerate(rows):
+        for kind in (0, 1):
+            if made[k][kind] is not None:
+                old = refs.get((lang, kind), [0] * len(made[k][kind]))
+                refs[lang, kind] = [x + y for x, y in zip(old, made[k][kind], strict=True)]
+
+    def distance(p, q):
+        p, q = ([x / sum(v) for x in v] for v in (p, q))
+        half = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return max(0.0, (half(p, q) + half(q, p)) / 2) ** 0.5
+
+    got = Counter((r.doc_id, r.class_distance and round(r.class_distance, 6), r.word_distance and round(r.word_distance, 6), r.kept) for r in quality_rules.judge(docs).collect())
+    base = {r.doc_id: r.base_failed for r in quality_rules.judge(docs).collect()}
+    want = Counter()
+    for k, (i, _, lang) in enumerate(rows):
+        far = []
+        for kind, least in ((0, quality_rules.MIN_CHARS), (1, quality_rules.MIN_WORDS)):
+            v = made[k][kind]
+            far.append(distance(v, refs[lang, kind]) if v is not None and sum(v) >= least else None)
+        limit = quality_rules.MAX_WORD_DISTANCE + quality_rules.WORD_NOISE / max(1, sum(made[k][1] or [1])) ** 0.5
+        fine = (far[0] is None or far[0] <= quality_rules.MAX_CLASS_DISTANCE) and (far[1] is None or far[1] <= limit)
+        want[i, far[0] and round(far[0], 6), far[1] and round(far[1], 6), fine and not base[i]] += 1
+    assert got == want and any(k[1] for k in got) and any(k[2] for k in got)
+
+
 def test_bpe_equals_the_library_and_decodes(docs):
     from tokenizers import Tokenizer
 
@@ -403,6 +442,31 @@ def test_substring_dedup(spark, docs):
         assert len(whole[i].text.encode()) == len(raw) - whole[i].n_cut_bytes
 
 
+def chunks_by_hand(raw, least, most, bits):
+    """Ends of the chunks of a text with white space in every stretch of ``most`` bytes, byte by byte."""
+    out, start, h = [], 0, 0
+    for k, b in enumerate(raw):
+        h = ((h << 2) + int(substring_dedup._GEAR[b])) & 0xFFFFFFFF
+        if b not in b" \t\n\v\f\r":
+            continue
+        end = k + 1
+        natural = h >> (32 - bits) == 0 and end - start >= least and end >= 16
+        # behind ``most`` bytes the first white space ends the chunk, unless the next natural end comes first
+        if natural or end - start >= most:
+            out.append(end)
+            start = end
+    return out + [len(raw)] * (start < len(raw))
+
+
+def test_chunks_by_hand():
+    rng = random.Random(31)
+    for n in (0, 1, 5, 40, 400, 2000):
+        text = " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(1, 12))) for _ in range(n)).encode()
+        for least, most, bits in ((24, 256, 2), (8, 64, 3)):
+            ends, owner = substring_dedup.chunk_ends(np.frombuffer(text, np.uint8), np.array([0, len(text)]), least, most, bits)
+            assert ends.tolist() == chunks_by_hand(text, least, most, bits) and set(owner.tolist()) <= {0}
+
+
 def test_repeated_ids_with_other_texts(spark):
     rng = random.Random(13)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -535,6 +599,28 @@ def test_licenses(docs, spark):
     assert len(licenses.RULES) > 200
 
 
+def test_license_rules_by_hand():
+    """Every rule run on every text; detections taken by priority and length, those inside a taken one left out."""
+    rng = random.Random(41)
+    pieces = ["gnu general public license version 2 or at your option any later version", "apache license version 2 0", "cc by nc sa 4 0", "bsd 3 clause license", "mit license", "under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mozilla public license 2 0", "licensed under the mit", "all rights reserved", "lgpl v2 1", "creative commons attribution share alike 4 0", "gpl 3 0 only", "eclipse public license v 2 0", "isc license", "unrelated words", "version 2 0", "license"]
+    texts_ = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(150)] + [""]
+    for text in texts_:
+        found = []
+        for r in licenses.RULES:
+            if all(k in text for k in r.keywords):
+                found += [(-r.priority, m.start() - m.end(), m.start(), r.label, m.end()) for m in re.finditer(r.pattern, text)]
+        taken = []
+        for p, _, start, label, end in sorted(found):
+            if not any(a <= start and end <= b for _, a, b, _ in taken):
+                taken.append((label, start, end, -p))
+        words = lambda at: text[:at].count(" ")
+        base, accepted = licenses.scan(text)
+        assert accepted == [(label, words(a), words(b) + 1, p) for label, a, b, p in taken]
+        # no keyword gate hides a rule that would fit
+        assert {(r.label, m.span()) for r in licenses.RULES for m in re.finditer(r.pattern, text)} == {(label, (a, e)) for _, _, a, label, e in found}
+        assert sorted(base) == sorted((label, j) for phrase, label in licenses.BASE.items() for j in range(len(text.split())) if text.split()[j : j + len(phrase.split())] == phrase.split())
+
+
 def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark):
     import corpus_pipeline
 
