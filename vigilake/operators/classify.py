@@ -17,6 +17,8 @@ from vigilake.schema import IDENTITY, RESOURCES, TEXT_FIELDS
 from .parsers import BY_TYPE, PARSERS, VPC_DEFAULT_HEADER, Record, fields_of, is_vpc_header
 
 UNCLASSIFIED = "unclassified"
+#: Columns of the envelope that are worked out outside generated code.
+APART = ("requestParameters", "eventTime", "eventID")
 
 #: Log types whose payload, the vendor's own record, is what rules read; "intended" adds the text formats and GSuite.
 UNWRAPPED = ("Okta.SystemLog", "OnePassword.SignInAttempt", "AWS.BedrockModelInvocation", "GitHub.Audit", "GitHub.Webhook", "GCP.AuditLog", "GCP.HTTPLoadBalancer", "Amazon.EKS.Audit", "Slack.AuditLogs", "Cloudflare.Firewall", "Cloudflare.HttpRequest")
@@ -65,17 +67,22 @@ def with_headers(lines: DataFrame, file: str, raw: str = "raw", header: str = "h
     return lines.drop(header).join(found, file, "left")
 
 
+def _typed(lines: DataFrame, raw: str, hint: str | None, header: str | None, keep_unclassified: bool) -> tuple[DataFrame, Record]:
+    """lines with their log type, and the record over them."""
+    head = F.coalesce(F.col(header), F.lit(VPC_DEFAULT_HEADER)) if header else None
+    parsed, r = _opened(lines.where(F.trim(F.col(raw)) != ""), raw, head)
+    typed = parsed.withColumn("_accepts", _once(accepted(r)))
+    typed = typed.withColumn("log_type", _once(log_type_of(F.col("_accepts"), at(F.col("_json"), "p_log_type"), F.col(hint) if hint else None))).drop("_accepts")
+    return (typed.withColumn("log_type", F.coalesce("log_type", F.lit(UNCLASSIFIED))) if keep_unclassified else typed.where("log_type is not null")), r
+
+
 def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header: str | None = None, keep_unclassified: bool = False) -> DataFrame:
     """lines' columns with log_type and the envelope.
 
     Records that no parser accepts, flow-log headers and blank lines have no
     log type; they are left out unless ``keep_unclassified``.
     """
-    head = F.coalesce(F.col(header), F.lit(VPC_DEFAULT_HEADER)) if header else None
-    parsed, r = _opened(lines.where(F.trim(F.col(raw)) != ""), raw, head)
-    typed = parsed.withColumn("_accepts", _once(accepted(r)))
-    typed = typed.withColumn("log_type", _once(log_type_of(F.col("_accepts"), at(F.col("_json"), "p_log_type"), F.col(hint) if hint else None))).drop("_accepts")
-    typed = typed.withColumn("log_type", F.coalesce("log_type", F.lit(UNCLASSIFIED))) if keep_unclassified else typed.where("log_type is not null")
+    typed, r = _typed(lines, raw, hint, header, keep_unclassified)
     fields = {p.log_type: p.fields(r) for p in PARSERS}
     kinds = {n: "string" for n in TEXT_FIELDS} | {"eventTime": "timestamp", "userIdentity": IDENTITY, "requestParameters": "variant", "responseElements": "variant", "resources": RESOURCES}
     columns = {}
@@ -89,7 +96,7 @@ def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header
         value = default if value is None else value.otherwise(default)
         columns[name] = F.coalesce(value, F.lit("")) if kind == "string" else value
     # these differ most between formats; apart from the rest, generated code stays within what is compiled
-    for name in ("requestParameters", "eventTime", "eventID"):
+    for name in APART:
         typed = typed.withColumn(name, _apart(columns.pop(name)))
     return typed.withColumns(columns).withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw").drop("_cells")
 
@@ -147,7 +154,8 @@ def service_type(event_source: Column) -> Column:
 
 def classifier_stats(lines: DataFrame, raw: str = "raw", **options) -> DataFrame:
     """Records and bytes per log type, those that no parser accepts included."""
-    return classify(lines, raw, keep_unclassified=True, **options).groupBy("log_type").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length(raw)).alias("bytes"))
+    typed, _ = _typed(lines, raw, options.get("hint"), options.get("header"), True)
+    return typed.groupBy("log_type").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length(raw)).alias("bytes"))
 
 
 def parse_as(lines: DataFrame, log_type: str, raw: str = "raw") -> DataFrame:

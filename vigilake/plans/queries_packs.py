@@ -396,4 +396,4 @@ def attack_lines(spark, sf_dir):
 @query("SELECT rule_id, severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity FROM events WHERE event_id % {len(_RUN)} = {k} AND event_type = '{t}'" for k, by in _RUN.items() for t, rules in by.items() for r, s in rules) + ") x GROUP BY 1, 2")
 def once_all_packs(spark, sf_dir):
     """Raw lines of many formats, classified, through all packs."""
-    return alerts.counts(modes.batch(attack_lines(spark, sf_dir), RuleSet("intended")).matches)
+    return alerts.counts(modes.batch(attack_lines(spark, sf_dir), RuleSet("intended"), spread=spark.sparkContext.defaultParallelism).matches)
