@@ -376,7 +376,7 @@ _RUN = {
 
 
 def attack_lines(spark, sf_dir):
-    """Events as raw records of seven vendors' formats and of none, some of which rules match."""
+    """Events as raw records of six vendors' formats and of none, some of which rules match."""
     time, kind = _time(_ISO), F.col("event_type")
     forms = [
         _json(eventID=_id(), eventTime=time, eventName=_case(purchase="DeleteTrail", view="DeleteBucket", click="ConsoleLogin", error="Describe", signup="Get"), eventSource=_case(view="s3.amazonaws.com"), responseElements=F.struct(_case(click="Failure").alias("ConsoleLogin"))),

@@ -1,5 +1,7 @@
 """Rules over AWS logs."""
 
+# The ids, severities and titles of the rules below, and the names and values that their predicates ask for.
+
 from __future__ import annotations
 
 from pyspark.sql import Column
