@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, licenses, line_dedup, ngram_join, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, importance, licenses, line_dedup, ngram_join, periodic_runs, quality_classifier, quality_rules, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,35 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by the CRC-32 of their id, the words from some place on repeat themselves."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def altered(words):
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, a + (i - a) % p))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    # the function's argument is worked out once
+    made = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, altered(w)).otherwise(F.col("text"))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(planted_runs(_table(spark, sf_dir, "documents")), outputs=("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_ngram_jaccard, op2_html_extract, op3_quality_classifier, op4_decontaminate, op5_quality_rules, op6_bpe, op7_line_dedup, op8_substring_dedup, op9_url_filter, op10_licenses)
+    ops = (op1_ngram_jaccard, op2_html_extract, op3_quality_classifier, op4_decontaminate, op5_quality_rules, op6_bpe, op7_line_dedup, op8_substring_dedup, op9_url_filter, op10_licenses, op11_importance_resampling, op12_periodic_runs)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 

@@ -21,11 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
+def new_path(spark: SparkSession, ending: str = "parquet") -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}.{ending}"
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df written as Parquet in the shared folder, in folders by those columns, and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    path = new_path(spark)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

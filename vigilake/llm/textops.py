@@ -96,6 +96,12 @@ class Spans:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def word_array(buf: np.ndarray, spans: Spans, klass: np.ndarray) -> pa.StringArray:
+    """The words themselves; their bytes, under 2 GB, are those that klass marks."""
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(spans.ends - spans.starts, dtype=np.int32)))
+    return pa.StringArray.from_buffers(len(spans.starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf[klass[buf] > 0])))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads entropy over all 64 bits."""
     h = h ^ (h >> _U(32))
