@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, importance, licenses, line_dedup, ngram_join, periodic_runs, quality_classifier, quality_rules, substring_dedup, url_filter
+from . import bpe, decontaminate, html_extract, importance, licenses, line_dedup, ngram_join, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +86,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(planted_runs(_table(spark, sf_dir, "documents")), outputs=("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_ngram_jaccard, op2_html_extract, op3_quality_classifier, op4_decontaminate, op5_quality_rules, op6_bpe, op7_line_dedup, op8_substring_dedup, op9_url_filter, op10_licenses, op11_importance_resampling, op12_periodic_runs)
+    ops = (op1_ngram_jaccard, op2_html_extract, op3_quality_classifier, op4_decontaminate, op5_quality_rules, op6_bpe, op7_line_dedup, op8_substring_dedup, op9_url_filter, op10_licenses, op11_importance_resampling, op12_periodic_runs, op13_token_files)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
