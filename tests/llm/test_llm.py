@@ -516,13 +516,14 @@ def general_by_hand(segment):
     return "*" + ext if wild else segment
 
 
-def tree_by_hand(rows, many, most, share, z, weight, doubt):
+def tree_by_hand(rows, many, most, share, z, weight, doubt, depth=16, rounds=3):
     """rows: (host, path, label or None). Template and purity of each."""
-    paths = [[general_by_hand(x) for x in p.removeprefix("/").split("/")] for _, p, _ in rows]
-    for k in range(max(map(len, paths))):
+    paths = [p.removeprefix("/").split("/") for _, p, _ in rows]
+    paths = [[general_by_hand(x) for x in (p if len(p) <= depth else [*p[:depth], "**"])] for p in paths]
+    for r in range(rounds):
         nodes = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
         for (host, _, label), t in zip(rows, paths, strict=True):
-            if len(t) > k:
+            for k in range(len(t)):
                 x = nodes[host, tuple(t[:k])][t[k]]
                 x[0], x[1], x[2] = x[0] + 1, x[1] + (label is not None), x[2] + (label == "block")
         names = {}
@@ -530,6 +531,8 @@ def tree_by_hand(rows, many, most, share, z, weight, doubt):
             if len(kids) >= most or len(kids) >= many and len(kids) >= share * sum(n for n, _, _ in kids.values()):
                 names |= {(node, kid): "*" for kid in kids}
                 continue
+            if r < rounds - 1:
+                continue
             group = []
             for rate, kid, known, bad in [*sorted((b / n, kid, n, b) for kid, (_, n, b) in kids.items() if n), (None, None, 0, 0)]:
                 if group:
@@ -541,9 +544,7 @@ def tree_by_hand(rows, many, most, share, z, weight, doubt):
                             names |= {(node, g): f"{{{min(segments)}|{max(segments)}}}" for g in segments}
                         group = []
                 group.append((rate, kid, known, bad))
-        for (host, _, _), t in zip(rows, paths, strict=True):
-            if len(t) > k:
-                t[k] = names.get(((host, tuple(t[:k])), t[k]), t[k])
+        paths = [[names.get(((host, tuple(t[:k])), t[k]), t[k]) for k in range(len(t))] for (host, _, _), t in zip(rows, paths, strict=True)]
     sums = defaultdict(lambda: [0, 0, 0])
     for (host, _, label), t in zip(rows, paths, strict=True):
         for k in (None, *range(len(t) + 1)):
@@ -582,7 +583,34 @@ def test_path_trees(spark, small):
         seen += " ".join(g.template for g in got.values())
     assert blocked and "/*/" in seen and "{" in seen
     assert url_filter.filter_urls(df.limit(0)).count() == 0
-    assert {r.verdict for r in url_filter.filter_urls(spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet")).where("rule is null").collect()} == {"allow", "block"}
+
+
+def test_wildcards_below_wildcards_and_deep_paths(spark):
+    urls = [f"http://h.com/user/{chr(97 + a)}{chr(97 + b)}/post/{chr(97 + (a + 3 * b) % 26)}{chr(97 + (5 * a + b) % 26)}x" for a in range(20) for b in range(20)]
+    urls += ["http://h.com/" + "/".join(f"{chr(97 + k % 26)}b" for k in range(n)) for n in (15, 16, 17, 18, 1000, 1000)] + ["http://h.com/" + "x/" * 50_000, "http://h.com/" + "y" * 200_000]
+    began = time.time()
+    got = by_id_of(url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
+    assert time.time() - began < 60
+    assert {got[k].template for k in range(400)} == {"/user/*/post/*"}
+    assert [got[k].template.count("/") for k in range(400, 408)] == [15, 16, 17, 17, 17, 17, 17, 1]
+    assert got[402].template.endswith("/**") and got[404].template == got[403].template and got[407].template == "/*"
+    assert got[404].path == urls[404].removeprefix("http://h.com")
+
+
+def test_undecided_urls_of_bad_branches_are_rejected(spark):
+    """A rule that blocks by numbers labels a template; its other rows follow, and other branches of the host don't."""
+    rules = tuple(("block", f"spam.com/offer/{d}") for d in range(1, 8)) + (("allow", "spam.com/news/"),)
+    urls = [f"http://spam.com/offer/{d}" for d in range(100, 1000)] + [f"http://spam.com/news/{d}" for d in range(900)] + [f"http://clean.com/{d}" for d in range(300)]
+    got = by_id_of(url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules), "page_id")
+    undecided = [got[k] for k in range(900) if got[k].rule is None]
+    assert len(undecided) == 200 and {r.verdict for r in undecided} == {"block"}
+    assert {got[k].verdict for k in range(900, len(urls))} == {"allow"}
+
+
+def test_contract_rules_of_urls(spark):
+    want = {"http://a.com/en/1": "block", "http://example.com/en/70": "allow", "http://x.example.com/en/7": "allow", "http://a.net/de/8": "allow", "http://example.net/de/81": "block", "http://example.net/de/1": "allow", "http://a.org/es/": "block"}
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(want)), "page_id long, url string")).collect()
+    assert {list(want)[r.page_id]: r.verdict for r in got} == want
 
 
 def test_licenses(docs, spark):
