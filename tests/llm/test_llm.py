@@ -306,6 +306,33 @@ def test_decontamination_by_items_without_id(spark):
         assert got[2].items_sha256 == hashlib.sha256(b"known").hexdigest()
 
 
+def test_decontamination_of_texts_that_repeat_themselves(spark):
+    """Time does not grow with the number of equal windows in a text times that in the benchmark."""
+    bench = spark.createDataFrame([("ha", "ha " * 300_000), ("two", "ho ho"), *((f"same{k}", " ".join(f"w{j}" for j in range(30))) for k in range(500))], "item_id string, text string")
+    df = spark.createDataFrame([(1, "ha " * 1_000_000), (2, "ho " * 500_000), (3, "ha " * 9), (4, " ".join(f"w{j}" for j in range(30)) + " ha" * 10)], "doc_id long, text string")
+    began = time.time()
+    got = by_id(decontaminate.report(decontaminate.decontaminate(df, bench)))
+    assert time.time() - began < 30
+    assert {i: (r.n_words, r.n_hit, r.n_items) for i, r in got.items()} == {1: (1_000_000, 1_000_000, 1), 2: (500_000, 500_000, 1), 3: (9, 0, 0), 4: (40, 40, 501)}
+
+
+def test_spans_of_decontamination_end_with_their_texts(spark):
+    bench = spark.createDataFrame([("a", " ".join(f"w{j}" for j in range(25)))], "item_id string, text string")
+    rows = [(1, " ".join(f"w{j}" for j in range(12))), (2, " ".join(f"w{j}" for j in range(12, 25))), (3, " ".join(f"w{j}" for j in range(5))), (4, " ".join(f"w{j}" for j in range(5, 25)) + " x " + " ".join(f"w{j}" for j in range(10)))]
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bench))
+    assert {i: [tuple(x) for x in r.hits] for i, r in got.items()} == {1: [(0, 12)], 2: [(0, 13)], 3: [], 4: [(0, 20), (21, 31)]}
+
+
+def test_classifier_counts_exact_ids(spark):
+    """Ids over 2^53 beside a null one keep their own labels."""
+    big = 1 << 60
+    rows = [(big + k, f"{'good' if k % 2 else 'bad'} text number {k}") for k in range(40)] + [(None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    raw, target = quality_classifier._counts(df, np.array([big + 1, big + 3], np.int64))
+    one = spark.createDataFrame([r for r in rows if r[0] in (big + 1, big + 3)], "doc_id long, text string")
+    assert (target == quality_classifier._counts(one, np.zeros(0, np.int64))[0]).all() and target.sum() < raw.sum()
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.judge(docs))
     for i, t in texts(docs):

@@ -4,9 +4,13 @@ Every text becomes a sequence of word hashes. Of each ``span_words -
 gram + 1`` neighbouring ``gram``-word hashes the smallest is kept (all of
 them where they tie) as a fingerprint. Two texts that share ``span_words``
 consecutive words keep the same fingerprint inside that span, so looking the
-documents' fingerprints up among the benchmark's finds every such span; each
-hit is then extended word by word in both directions and counts if it reaches
-``span_words``. An item of fewer words is one window of its own length, for
+documents' fingerprints up among the benchmark's finds every such span. A hit
+is extended to the windows of ``span_words`` words around it, each of which is
+looked up among the items' windows and then compared with one of its places
+word by word; windows that follow one another make up the whole shared span.
+Equal windows of the benchmark are one entry with a list of their items, so the
+work depends neither on how often a text repeats itself nor on how many items
+share a passage. An item of fewer words is one window of its own length, for
 which winnowing has no shorter guarantee, so grams of that length are compared.
 
 The benchmark is cut into blocks of at most ``block_bytes`` of text, and one
@@ -62,23 +66,50 @@ def winnow(h: np.ndarray, first: np.ndarray, gram: int, window: int) -> tuple[np
     return at, g[at]
 
 
+class Windows:
+    """Distinct windows of one length, sorted by hash: a place of each among the items' words and the number of the list of its items."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int, lists: dict[tuple[int, ...], int]):
+        self.length = length
+        h = grams(words, length)[at] if len(at) else np.zeros(0, np.uint64)
+        order = np.lexsort((owner, h))
+        h, at, owner = h[order], at[order], owner[order]
+        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.hash, self.at = h[starts], at[starts]
+        stops = np.concatenate((starts[1:], [len(h)])) if len(h) else starts
+        items = owner.tolist()
+        self.list = np.array([lists.setdefault(tuple(dict.fromkeys(items[a:b])), len(lists)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+
+    def among(self, h: np.ndarray, starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the starts in h at which a window stands, and the number of its list."""
+        g = grams(h, self.length)
+        starts = starts[starts < len(g)]
+        starts = starts[Index.found(g[starts], self.hash)]
+        place = np.searchsorted(self.hash, g[starts])
+        same = np.ones(len(starts), bool)
+        for j in range(self.length):
+            same &= h[starts + j] == words[self.at[place] + j]
+        return starts[same], self.list[place[same]]
+
+
 class Index:
-    """Fingerprints of one benchmark block, sorted by hash."""
+    """Fingerprints and windows of one benchmark block."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], span_words: int, gram: int):
         h, first = word_hashes(pa.array([t for _, t in items], pa.string()))
-        self.ids, self.span, self.gram, self.window = [i for i, _ in items], span_words, gram, span_words - gram + 1
-        self.words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        at, fp = winnow(h, first, gram, self.window)
-        owner = np.searchsorted(first, at, "right") - 1
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.owner, self.at = fp[order], owner[order], (at - first[owner])[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for m in sorted({len(w) for w in self.words if 0 < len(w) < span_words}):
-            own = [k for k, w in enumerate(self.words) if len(w) == m]
-            key = np.array([grams(self.words[k], m)[0] for k in own], np.uint64)
-            order = np.argsort(key, kind="stable")
-            self.short[m] = (key[order], np.array(own)[order])
+        self.ids, self.span, self.gram, self.words = [i for i, _ in items], span_words, gram, h
+        self.fp = np.unique(winnow(h, first, gram, span_words - gram + 1)[1])
+        size, lists = np.diff(first), {}
+        owner = np.repeat(np.arange(len(size)), size)
+        rest = first[1:][owner] - np.arange(len(h))  # words from each one to the end of its item
+        at = np.flatnonzero(rest >= span_words)
+        self.long = Windows(h, at, owner[at], span_words, lists)
+        self.short = []
+        for m in np.unique(size[(size > 0) & (size < span_words)]).tolist():
+            own = np.flatnonzero(size == m)
+            self.short.append(Windows(h, first[own], own, m, lists))
+        self.lists = list(lists)
 
     @staticmethod
     def found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -94,42 +125,31 @@ class Index:
 
     def search(self, h: np.ndarray, first: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
         """For each text with hits: word spans and the items they belong to."""
+        at, fp = winnow(h, first, self.gram, self.span - self.gram + 1)
+        hit = at[self.found(fp, self.fp)]
+        marked = np.zeros(len(h) + 1, bool)
+        for j in range(self.span - self.gram + 1):
+            marked[hit[hit >= j] - j] = True
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        edge = np.zeros(len(h) + 1, np.int64)
+        for windows, starts in [(self.long, np.flatnonzero(marked[:-1])), *((w, np.arange(len(h))) for w in self.short)]:
+            text = np.searchsorted(first, starts, "right") - 1
+            starts, lists = windows.among(h, starts[starts + windows.length <= first[text + 1]], self.words)
+            edge[starts] += 1
+            np.subtract.at(edge, starts + windows.length, 1)
+            seen.append((np.searchsorted(first, starts, "right") - 1, lists))
+        inside = np.cumsum(edge)[:-1] > 0
+        before, after = np.concatenate(([False], inside[:-1])), np.concatenate((inside[1:], [False]))
+        border = np.zeros(len(h) + 1, bool)
+        border[first] = True
+        opens, closes = np.flatnonzero(inside & (~before | border[:-1])), np.flatnonzero(inside & (~after | border[1:])) + 1
         out: dict[int, tuple[list, set]] = {}
-
-        def add(text: int, start: int, stop: int, item: int) -> None:
-            spans, ids = out.setdefault(text, ([], set()))
-            spans.append((start, stop))
-            if self.ids[item] is not None:
-                ids.add(self.ids[item])
-
-        at, fp = winnow(h, first, self.gram, self.window)
-        done: dict[tuple[int, int, int], int] = {}
-        for k in self.found(fp, self.fp).tolist():
-            pos = int(at[k])
-            text = int(np.searchsorted(first, pos, "right") - 1)
-            base, end = int(first[text]), int(first[text + 1])
-            lo, hi = np.searchsorted(self.fp, fp[k], "left"), np.searchsorted(self.fp, fp[k], "right")
-            for e in range(int(lo), int(hi)):
-                item, q = int(self.owner[e]), int(self.at[e])
-                if done.get((text, item, pos - q), -1) > pos:
-                    continue
-                words = self.words[item]
-                left, right = min(pos - base, q), min(end - pos, len(words) - q)
-                unlike = np.flatnonzero(h[pos - left : pos + right] != words[q - left : q + right])
-                before, after = unlike[unlike < left], unlike[unlike >= left]
-                start = pos - left + (int(before[-1]) + 1 if len(before) else 0)
-                stop = pos - left + (int(after[0]) if len(after) else left + right)
-                done[text, item, pos - q] = stop
-                if stop - start >= self.span:
-                    add(text, start - base, stop - base, item)
-        for m, (keys, owners) in self.short.items():
-            g = grams(h, m)
-            for pos in self.found(g, keys).tolist():
-                text = int(np.searchsorted(first, pos, "right") - 1)
-                if pos + m <= first[text + 1]:
-                    lo, hi = np.searchsorted(keys, g[pos], "left"), np.searchsorted(keys, g[pos], "right")
-                    for e in range(int(lo), int(hi)):
-                        add(text, pos - int(first[text]), pos - int(first[text]) + m, int(owners[e]))
+        for text, start, stop in zip((np.searchsorted(first, opens, "right") - 1).tolist(), opens.tolist(), closes.tolist(), strict=True):
+            out.setdefault(text, ([], set()))[0].append((start - int(first[text]), stop - int(first[text])))
+        pairs = np.unique(np.concatenate([t * len(self.lists) + x for t, x in seen])) if self.lists else []
+        for pair in pairs:
+            text, k = divmod(int(pair), len(self.lists))
+            out[text][1].update(self.ids[i] for i in self.lists[k] if self.ids[i] is not None)
         return out
 
 

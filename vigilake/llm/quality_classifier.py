@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def features(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.
 def _counts(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all slots over all documents, and over the good ones."""
     parts = max(1, min(_CHUNKS, shuffle_partitions(docs.sparkSession)))
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(good))
+    known = docs.sparkSession.sparkContext.broadcast(good)
     n = int(_START[-1])
     bounds = np.linspace(0, n, _CHUNKS + 1).astype(int)
 
@@ -80,7 +81,7 @@ def _counts(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in slices(batches):
             found, _ = features(batch.column("text"))
-            mine = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), known.value)
+            mine = pc.is_in(batch.column("doc_id"), value_set=pa.array(known.value, pa.int64())).to_numpy(zero_copy_only=False)
             for slots, first in found:
                 held[0].append(slots)
                 held[1] += [slots[first[k] : first[k + 1]] for k in np.flatnonzero(mine)]
