@@ -14,9 +14,11 @@ was left by a task that failed. A block has whole documents, of about
 of control, of data, and two spare ones), then doc_ids, a byte for each that is
 1 if there is none, lengths, control bytes and data.
 
-Texts are cut at ASCII white space, across which the tokenizer joins nothing,
-and the tokenizers library encodes each distinct piece once per slice or finds
-it in a bounded cache.
+Texts are cut at ASCII white space, across which the tokenizer joins nothing.
+Where its pattern takes runs of letters, single digits and runs of marks apart,
+they are also cut between ASCII letters, digits and marks, but not at what may
+begin a contraction or a special token. The tokenizers library encodes each
+distinct piece once per slice, or it is found in a worker's bounded cache.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are each
 written; rows of one doc_id come in the order of a hash of their text, rows
@@ -29,6 +31,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +48,7 @@ MAGIC = b"VGTOKEN1"
 BLOCK_IDS = 1 << 18
 FILE_IDS = 1 << 26
 _SLICE = 2 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 #: The lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -72,14 +75,47 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return every[at] & _MASK[size]
 
 
+#: White space 0, letters 1, digits 2, marks 3; 4 for what is not cut at: apostrophes, the marks of special tokens, and characters beyond ASCII.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:128] = 3
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[[ord(c) for c in "'<|>"]] = 4
+_KIND[[*range(9), *range(14, 32), 127]] = 4
+#: A pattern that ends so takes letters, digits and marks apart.
+_APART = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def pieces_of(buf: np.ndarray, off: np.ndarray, fine: bool) -> Spans:
+    """Spans between white space, or finer ones."""
+    spans = Spans(buf, off, SPACED)
+    if fine and len(buf):
+        kind = _KIND[buf]
+        a, b = kind[:-1], kind[1:]
+        cut = (((a != b) & (a < 4) & (b < 4)) | ((a == 2) & (b == 2))) & (a > 0) & (b > 0)
+        cut[off[(off > 0) & (off < len(buf))] - 1] = False  # texts are apart already
+        cuts = np.flatnonzero(cut) + 1
+        spans.starts, spans.ends = np.sort(np.concatenate((spans.starts, cuts))), np.sort(np.concatenate((spans.ends, cuts)))
+        spans.first = np.searchsorted(spans.starts, off)
+    return spans
+
+
 class Encoder:
-    """The tokenizers library over pieces between white space, each distinct one encoded once."""
+    """The tokenizers library over pieces of texts, each distinct one encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = lambda of, inner: (of or {}).get(inner, [of or {}])
+        split, normal = steps(made["pre_tokenizer"], "pretokenizers"), steps(made["normalizer"], "normalizers")
+        self.fine = any(x.get("pattern", {}).get("Regex", "").endswith(_APART) for x in split)
+        # then ASCII letters are one word, changed by nothing but lower case, and the library's model can be asked at once
+        self.plain = self.fine and [x.get("type") for x in normal] == ["NFC", "Replace", "Lowercase"] and [x.get("add_prefix_space", False) for x in split] == [False, False]
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[str, bytes] = {}
@@ -87,14 +123,20 @@ class Encoder:
     def ids(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with end_id behind it, and the n + 1 bounds of the texts."""
         buf, off = texts_of(column)
-        spans = Spans(buf, off, SPACED)
+        spans = pieces_of(buf, off, self.fine)
         coded = word_array(buf, spans, SPACED).dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, new = {}, pieces
-        made = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, made, strict=True))
+        if self.plain:
+            tokenize = self.library.model.tokenize
+            words, others = [p for p in new if p.isascii() and p.isalpha()], [p for p in new if not (p.isascii() and p.isalpha())]
+            self.known.update((p, array("I", [t.id for t in tokenize(p.lower())]).tobytes()) for p in words)
+        else:
+            others = new
+        made = self.library.encode_batch_fast(others, add_special_tokens=False)
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, made, strict=True))
         found = [self.known[p] for p in pieces]
         for p in new:
             if len(p) > 64:
@@ -111,6 +153,16 @@ class Encoder:
         return out, bounds
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per path and Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
     """Written rows of two kinds: ``document`` (at, doc_id, ids) in the order of doc_id, of which ``at`` tells the place, and each task's ``counts`` of all ids. ids are little-endian numbers of 2 or 4 bytes."""
     parts = shuffle_partitions(docs.sparkSession)
@@ -120,7 +172,7 @@ def sorted_ids(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text:
     names = ["kind", "at", "doc_id", "width", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         size = max(encoder.library.get_vocab_size(), end_id + 1)
         kind, counts = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, np.int64)
         for batch in slices(batches, most=_SLICE):
