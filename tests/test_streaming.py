@@ -10,6 +10,7 @@ from vigilake.operators.detect import RuleSet
 from vigilake.plans import modes
 from vigilake.sources import files, tail
 from vigilake.streaming import stateful
+from vigilake.streaming.in_order import rocksdb
 
 
 def batches(spark, tmp_path, parts, schema):
@@ -23,7 +24,8 @@ def batches(spark, tmp_path, parts, schema):
 
 
 def collected(df, tmp_path, name):
-    q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    with rocksdb(df.sparkSession):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name).collect()
 

@@ -23,6 +23,8 @@ from vigilake.sources.scratch import Scratch
 from .classify import infer_log_type, with_payload
 from .stateful import event_time, first_seen, micros, thresholds_crossed
 
+#: Before any event; a comparison with it is no test that Spark could leave out.
+LONG_AGO = "0001-01-01"
 _HIT = "struct<rule_id:string,title:string,severity:string,dedup:string,state:string>"
 
 
@@ -60,7 +62,7 @@ class RuleSet:
         return found + [(make(Event(F.col("payload"), F.col("log_type"))), types) for make, types in self.own]
 
 
-def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str], dict, list]:
+def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...], clock: str | None = None) -> tuple[DataFrame, DataFrame, list[str], dict, list]:
     """The events, the hits of all rules (kept columns, _at, rule_id, title, severity, dedup, state), the kept columns, the rules' states, and (rule, log type) pairs."""
     if "payload" not in events.columns:
         events = with_payload(events, rules.mode)
@@ -80,12 +82,20 @@ def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep
     order = F.coalesce(F.col("eventTime"), F.timestamp_seconds(F.lit(0))) if "eventTime" in events.columns else F.timestamp_seconds(F.lit(0))
     base = events.select("log_type", *held, event_time(F.col("payload"), order).alias("_at"), *(c.alias(n) for n, c in parts.items()))
     hits = base.withColumn("_hits", F.flatten(F.array(*parts)) if parts else none).drop(*parts)
-    found = hits.where(F.size("_hits") > 0).select("log_type", *held, "_at", F.explode("_hits").alias("_h")).select("log_type", *held, "_at", "_h.*")
+    # a stream's filters, and those that Spark infers from explode, would be moved in front of its watermark if they did not name its clock
+    own = F.col("_hits") if clock is None else F.when(F.col(clock) >= LONG_AGO, F.col("_hits"))
+    found = hits.where(F.size(own) > 0).select("log_type", *held, "_at", F.explode(own).alias("_h")).select("log_type", *held, "_at", "_h.*")
     states = {r.rule_id: r.state for rs, _ in built for r in rs if r.state is not None}
     by_rule = [(r.rule_id, t) for rs, types in built for r in rs for t in (types or (None,))]
     return events.drop("_k8s", "_common"), found, held, states, by_rule
 
 
+def found_hits(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...]) -> tuple[DataFrame, dict]:
+    """Hits of all rules of a stream of events, before state is looked at, and the rules' states. The first kept column is the one by which the stream's watermark moves; events without hits move it too."""
+    _, found, _, states, _ = _found(events, rules, only, keep, keep[0])
+    return found, states
+
+
 def _settled(found: DataFrame, states: dict, held: list[str], seen: DataFrame | None, past: DataFrame | None) -> DataFrame:
     """The hits that are matches once rules with state have had their say."""
     seq = [c for c in ("eventID",) if c in held] + ["title"]

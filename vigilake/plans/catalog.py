@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_packs, queries_rules, queries_sql  # noqa: F401  they add to the table
+from . import queries_packs, queries_rules, queries_sql, queries_streaming  # noqa: F401  they add to the table
 from .queries_core import QUERIES
 
 

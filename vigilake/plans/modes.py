@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilake.functions.text import parse_duration
 from vigilake.operators.classify import classify
 from vigilake.operators.detect import Analysis, RuleSet, analyze_by_pack
 from vigilake.operators.stateful import dedup_events
@@ -12,6 +13,8 @@ from vigilake.sources import files, lake
 from vigilake.sources.notifications import s3_objects, split_batches, unwrap_envelopes
 from vigilake.sources.queue import QueueSource
 from vigilake.sources.scratch import Scratch
+from vigilake.streaming import detection
+from vigilake.streaming.in_order import rocksdb
 from vigilake.streaming.rule_state import RuleState
 
 
@@ -64,6 +67,23 @@ def watch(spark: SparkSession, path: str, checkpoint: str, write, rules: RuleSet
     return _following(files.stream_lines(spark, path, max_files=max_files), checkpoint, write, rules, every, late_s, lambda df, **kw: batch(df, rules, **kw))
 
 
+def follow(spark: SparkSession, path: str, checkpoint: str, write, rules: RuleSet | None = None, every: str | None = None, late: str = "1 hour", max_files: int | None = None, only: tuple[str, ...] | None = None, forget_firsts: str | None = None):
+    """A stream over a directory of log files as one plan; write(DataFrame, number) gets each micro-batch's matches.
+
+    Unlike watch(), rules with state count records in the order of their event
+    time, however they arrive, if none is over ``late`` behind the newest, and
+    their memory is the stream's own keyed state, which is dropped behind their
+    windows; keys of first-seen rules are kept for good, or ``forget_firsts``
+    behind their last hit. The plan grows with the rules: name the packs.
+    """
+    rules = rules or RuleSet()
+    events = classify(files.stream_lines(spark, path, max_files=max_files))
+    found = detection.matches(events, rules, late, only, forget_firsts_us=None if forget_firsts is None else parse_duration(forget_firsts) * 1_000_000)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    with rocksdb(spark):
+        return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def consume(spark: SparkSession, queue: str, checkpoint: str, write, rules: RuleSet | None = None, every: str | None = None, late_s: int = 86_400, max_messages: int = 1000):
     """A stream over a message queue's folder: event-bus envelopes, or bare records. A message is acknowledged once write() has returned for it."""
     rules = rules or RuleSet()

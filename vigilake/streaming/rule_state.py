@@ -56,12 +56,13 @@ class RuleState:
             firsts = firsts.join(seen, ["rule_id", "state"], "left_anti")
         firsts.write.mode("overwrite").parquet(f"{self.root}/firsts/batch={batch}")
         others = hits.where(~F.col("rule_id").isin(*first_rules))
-        newest = others.agg(F.max(micros(F.col("_at")))).first()[0]
+        newest, now = others.agg(F.max(micros(F.col("_at"))), F.unix_micros(F.first(F.current_timestamp()))).first()
         path, fs = self._folder(f"hits/batch={batch}")
         fs.delete(path, True)
         if newest is not None:
             others.select("rule_id", "state", "_at", "eventID", "title").write.parquet(f"{self.root}/hits/batch={batch}/until={newest}")
-            self._forget(newest)
+            # what is dated in the future pushes nothing out
+            self._forget(min(newest, now or newest))
 
     def _forget(self, newest: int) -> None:
         path, fs = self._folder("hits")
