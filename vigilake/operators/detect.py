@@ -1,8 +1,9 @@
 """Evaluation of rules over events.
 
-All rules of a log type are one array expression, each entry null unless its
-predicate holds, so titles and the like are made for matches only; one pass
-over the events serves every pack. Rules with state yield candidates in that
+What rules read of a payload are atoms, worked out once per event in front of
+all rules. All rules of a log type are one array expression over them, each
+entry null unless its predicate holds, so titles and the like are made for
+matches only; one pass over the events serves every pack. Rules with state yield candidates in that
 pass, which are then put through the stateful operators.
 """
 
@@ -16,7 +17,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.rules.model import Event, FirstSeen, Rule, Threshold
+from vigilake.functions.k8s import once
+from vigilake.rules.model import ATOMS, AtomEvent, FirstSeen, Pack, Rule, Threshold
 from vigilake.rules.registry import PACKS, log_types, pack_rules, prepared
 from vigilake.sources.scratch import Scratch
 
@@ -59,10 +61,13 @@ class RuleSet:
     def build(self, packs: list[str] | None = None) -> list[tuple[list[Rule], tuple[str, ...] | None]]:
         """Rules over the columns payload and log_type."""
         found = [(pack_rules(p, self.mode == "intended", self.mode, **self.options.get(p, {})), log_types(p, self.mode)) for p in (self.packs if packs is None else packs)]
-        return found + [(make(Event(F.col("payload"), F.col("log_type"))), types) for make, types in self.own]
+        for make, types in self.own:
+            e = AtomEvent(F.col("payload"), F.col("log_type"))
+            found.append((Pack(make(e), e.atoms), types))
+        return found
 
 
-def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...], clock: str | None = None) -> tuple[DataFrame, DataFrame, list[str], dict, list]:
+def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str], dict, list]:
     """The events, the hits of all rules (kept columns, _at, rule_id, title, severity, dedup, state), the kept columns, the rules' states, and (rule, log type) pairs."""
     if "payload" not in events.columns:
         events = with_payload(events, rules.mode)
@@ -71,8 +76,11 @@ def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep
     if only:
         events = events.where(F.col("log_type").isin(*only))
     packs = [p for p in rules.packs if only is None or set(log_types(p, rules.mode)) & set(only)]
-    events = prepared(events, packs)
+    plain, events = events, prepared(events, packs)
     built = [(rs, types) for rs, types in rules.build(packs) if rs and (only is None or types is None or set(types) & set(only))]
+    atoms = {name: c for rs, _ in built for name, c in rs.atoms.items()}
+    if atoms:
+        events = events.withColumn(ATOMS, once(F.struct(*(c.alias(name) for name, c in atoms.items()))))
     none = F.array().cast(f"array<{_HIT}>")
     parts = {}
     for i, (rs, types) in enumerate(built):
@@ -80,19 +88,18 @@ def _found(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep
         parts[f"_m{i}"] = hits if types is None else F.when(F.col("log_type").isin(*types), hits).otherwise(none)
     held = [c for c in keep if c in events.columns]
     order = F.coalesce(F.col("eventTime"), F.timestamp_seconds(F.lit(0))) if "eventTime" in events.columns else F.timestamp_seconds(F.lit(0))
-    base = events.select("log_type", *held, event_time(F.col("payload"), order).alias("_at"), *(c.alias(n) for n, c in parts.items()))
-    hits = base.withColumn("_hits", F.flatten(F.array(*parts)) if parts else none).drop(*parts)
-    # a stream's filters, and those that Spark infers from explode, would be moved in front of its watermark if they did not name its clock
-    own = F.col("_hits") if clock is None else F.when(F.col(clock) >= LONG_AGO, F.col("_hits"))
-    found = hits.where(F.size(own) > 0).select("log_type", *held, "_at", F.explode(own).alias("_h")).select("log_type", *held, "_at", "_h.*")
+    every = F.flatten(F.array(*parts.values())) if parts else none
+    # the outer form, as Spark would work out all rules a second time to filter in front of the plain one
+    hits = events.select("log_type", *held, event_time(F.col("payload"), order).alias("_at"), F.explode_outer(every).alias("_h"))
+    found = hits.where("_h is not null").select("log_type", *held, "_at", "_h.*")
     states = {r.rule_id: r.state for rs, _ in built for r in rs if r.state is not None}
     by_rule = [(r.rule_id, t) for rs, types in built for r in rs for t in (types or (None,))]
-    return events.drop("_k8s", "_common"), found, held, states, by_rule
+    return plain, found, held, states, by_rule
 
 
 def found_hits(events: DataFrame, rules: RuleSet, only: tuple[str, ...] | None, keep: tuple[str, ...]) -> tuple[DataFrame, dict]:
-    """Hits of all rules of a stream of events, before state is looked at, and the rules' states. The first kept column is the one by which the stream's watermark moves; events without hits move it too."""
-    _, found, _, states, _ = _found(events, rules, only, keep, keep[0])
+    """Hits of all rules, before state is looked at, and the rules' states. events may be a stream."""
+    _, found, _, states, _ = _found(events, rules, only, keep)
     return found, states
 
 

@@ -200,6 +200,53 @@ class Event:
         return F.coalesce(self.first_true("recipientAccountId"), self.s("userIdentity.accountId"))
 
 
+#: The column of what rules share, and the number of each atom in it, the same in every plan.
+ATOMS = "_atoms"
+_NUMBERS: dict[str, int] = {}
+
+
+class AtomEvent(Event):
+    """An event whose extractions are atoms: fields of the column ``_atoms``, each worked out once per event whatever the number of rules that ask for it.
+
+    ``atoms`` has the expressions of those that have been asked for. Templates
+    of titles and the like are read from the payload, as only matches need them.
+    """
+
+    def __init__(self, payload: Column, log_type: Column | None = None):
+        super().__init__(payload, log_type)
+        self.raw = Event(payload, log_type)
+        self.atoms: dict[str, Column] = {}
+        self._known: dict[str, Column] = {}
+
+    def _atom(self, key: str, make: Callable[[], Column]) -> Column:
+        found = self._known.get(key)
+        if found is None:
+            name = f"a{_NUMBERS.setdefault(key, len(_NUMBERS))}"
+            self.atoms[name] = make()
+            found = self._known[key] = F.col(ATOMS)[name]
+        return found
+
+    def get(self, path: str, kind: str) -> Column:
+        return self._atom(f"{kind} {path}", lambda: self.raw.get(path, kind))
+
+    def kind(self, path: str) -> Column:
+        return self._atom(f"kind of {path}", lambda: self.raw.kind(path))
+
+    def truthy(self, path: str) -> Column:
+        return self._atom(f"truth of {path}", lambda: self.raw.truthy(path))
+
+    def fmt(self, template: str, **named: Column) -> Column:
+        return self.raw.fmt(template, **named)
+
+
+class Pack(list):
+    """Rules with the atoms that they read."""
+
+    def __init__(self, rules: list[Rule], atoms: dict[str, Column]):
+        super().__init__(rules)
+        self.atoms = atoms
+
+
 def _opened_at(path: str) -> Callable[[Column], Column]:
     return lambda x: _opened(F.try_variant_get(x, path, "variant"))
 

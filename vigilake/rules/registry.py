@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vigilake.functions.k8s import COLUMN, K8s, once
 
 from . import aws, code_hosting, gcp, kubernetes, services
-from .model import Event, Rule
+from .model import AtomEvent, Event, Pack, Rule
 
 #: Packs by name, with the log types they are indexed to.
 PACKS: dict[str, tuple[Callable[..., list[Rule]], tuple[str, ...]]] = {
@@ -60,10 +60,10 @@ def prepared(events: DataFrame, packs: list[str]) -> DataFrame:
     return events
 
 
-_BUILT: dict[tuple, list[Rule]] = {}
+_BUILT: dict[tuple, Pack] = {}
 
 
-def pack_rules(pack: str, own_type: bool, mode: str, **options) -> list[Rule]:
+def pack_rules(pack: str, own_type: bool, mode: str, **options) -> Pack:
     """rules_of() over the columns payload and log_type, built once per session: expressions that name columns fit any table."""
     context = SparkContext._active_spark_context
     key = (id(context._gateway if context else None), pack, own_type, mode, repr(sorted(options.items())))
@@ -72,12 +72,12 @@ def pack_rules(pack: str, own_type: bool, mode: str, **options) -> list[Rule]:
     return _BUILT[key]
 
 
-def rules_of(pack: str, payload: Column, log_type: Column | None = None, mode: str = "reference", **options) -> list[Rule]:
-    e = Event(payload, log_type)
+def rules_of(pack: str, payload: Column, log_type: Column | None = None, mode: str = "reference", **options) -> Pack:
+    e = AtomEvent(payload, log_type)
     if pack in SHARING:
         e.__dict__.update({n: F.col(COMMON)[n] for n in SHARED})
     found = PACKS[pack][0](e, **(INTENDED_OPTIONS.get(pack, {}) if mode == "intended" else {}) | options)
-    return [r for r in found if r.rule_id not in REFERENCE_BROKEN] if mode == "reference" else found
+    return Pack([r for r in found if r.rule_id not in REFERENCE_BROKEN] if mode == "reference" else found, e.atoms)
 
 
 def index(mode: str = "intended") -> list[tuple[str, str, tuple[str, ...]]]:
