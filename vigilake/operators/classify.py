@@ -17,9 +17,6 @@ from vigilake.schema import IDENTITY, RESOURCES, TEXT_FIELDS
 from .parsers import BY_TYPE, PARSERS, VPC_DEFAULT_HEADER, Record, fields_of, is_vpc_header
 
 UNCLASSIFIED = "unclassified"
-#: Columns of the envelope that are worked out outside generated code.
-APART = ("requestParameters", "eventTime", "eventID")
-
 #: Log types whose payload, the vendor's own record, is what rules read; "intended" adds the text formats and GSuite.
 UNWRAPPED = ("Okta.SystemLog", "OnePassword.SignInAttempt", "AWS.BedrockModelInvocation", "GitHub.Audit", "GitHub.Webhook", "GCP.AuditLog", "GCP.HTTPLoadBalancer", "Amazon.EKS.Audit", "Slack.AuditLogs", "Cloudflare.Firewall", "Cloudflare.HttpRequest")
 UNWRAPPED_INTENDED = (*UNWRAPPED, "GSuite.Reports", "AWS.VPCFlow", "AWS.ALB", "AWS.S3ServerAccess", "AWS.AuroraMySQLAudit")
@@ -83,22 +80,18 @@ def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header
     log type; they are left out unless ``keep_unclassified``.
     """
     typed, r = _typed(lines, raw, hint, header, keep_unclassified)
-    fields = {p.log_type: p.fields(r) for p in PARSERS}
     kinds = {n: "string" for n in TEXT_FIELDS} | {"eventTime": "timestamp", "userIdentity": IDENTITY, "requestParameters": "variant", "responseElements": "variant", "resources": RESOURCES}
-    columns = {}
-    for name, kind in kinds.items():
-        default = F.lit("1.0") if name == "eventVersion" else F.lit("") if kind == "string" else F.lit(None).cast(kind)
-        value = None
-        for log_type, own in fields.items():
-            if name in own:
-                test = F.col("log_type") == log_type
-                value = F.when(test, own[name]) if value is None else value.when(test, own[name])
-        value = default if value is None else value.otherwise(default)
-        columns[name] = F.coalesce(value, F.lit("")) if kind == "string" else value
-    # these differ most between formats; apart from the rest, generated code stays within what is compiled
-    for name in APART:
-        typed = typed.withColumn(name, _apart(columns.pop(name)))
-    return typed.withColumns(columns).withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw").drop("_cells")
+    defaults = {n: F.lit("1.0") if n == "eventVersion" else F.lit("") if kind == "string" else F.lit(None).cast(kind) for n, kind in kinds.items()}
+
+    def envelope(own: dict[str, Column]) -> Column:
+        return F.struct(*((F.coalesce(own[n], F.lit("")) if kind == "string" else own[n].cast(kind)).alias(n) if n in own else defaults[n].alias(n) for n, kind in kinds.items()))
+
+    # one choice for the whole envelope, so a record costs the fields of its own format
+    whole = F.lit(None)
+    for p in reversed(PARSERS):
+        whole = F.when(F.col("log_type") == p.log_type, envelope(p.fields(r))).otherwise(whole if p is not PARSERS[-1] else envelope({}))
+    made = typed.withColumn("_envelope", _apart(whole)).select(*typed.columns, *(F.col("_envelope")[n].alias(n) for n in kinds))
+    return made.withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw").drop("_cells")
 
 
 def envelope_variant() -> Column:
