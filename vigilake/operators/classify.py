@@ -32,20 +32,24 @@ def _apart(c: Column) -> Column:
     return F.explode(F.transform(F.array(c), lambda x: x))
 
 
+def is_object(json: Column, raw: Column) -> Column:
+    """The record is a JSON object, by its first character: its schema would take a walk through all of it. A line that begins with a number parses as JSON up to there."""
+    return json.isNotNull() & F.startswith(F.ltrim(raw, F.lit(" \t\r\n")), F.lit("{"))
+
+
 def _opened(lines: DataFrame, raw: str, header: Column | None) -> tuple[DataFrame, Record]:
     """lines with _json, and with _cells, the fields of what is no JSON; and the record over them."""
     r = F.col(raw)
     parsed = lines.withColumn("_json", _once(F.try_parse_json(r)))
-    # a line that begins with a number parses as JSON up to there
-    text = ~F.coalesce(F.startswith(F.schema_of_variant(F.col("_json")), F.lit("OBJECT")), F.lit(False))
+    text = ~is_object(F.col("_json"), r)
     cells = F.struct(F.when(text, fields_of(r, " ")).alias("spaced"), F.when(text, fields_of(r, ",")).alias("commaed"))
     return parsed.withColumn("_cells", _once(cells)), Record(r, F.col("_json"), header, F.col("_cells.spaced"), F.col("_cells.commaed"))
 
 
 def accepted(r: Record) -> Column:
     """For each parser, in order, whether it takes the record."""
-    is_json = r.json.isNotNull() & F.startswith(F.schema_of_variant(r.json), F.lit("OBJECT"))
-    return F.array(*(F.coalesce((is_json if p.json else ~is_json) & p.accept(r), F.lit(False)) for p in PARSERS))
+    takes = lambda json: F.array(*(F.coalesce(p.accept(r), F.lit(False)) if p.json == json else F.lit(False) for p in PARSERS))
+    return F.when(is_object(r.json, r.raw), takes(True)).otherwise(takes(False))
 
 
 def log_type_of(accepts: Column, own: Column, hint: Column | None = None) -> Column:
@@ -87,9 +91,10 @@ def classify(lines: DataFrame, raw: str = "raw", hint: str | None = None, header
         return F.struct(*((F.coalesce(own[n], F.lit("")) if kind == "string" else own[n].cast(kind)).alias(n) if n in own else defaults[n].alias(n) for n, kind in kinds.items()))
 
     # one choice for the whole envelope, so a record costs the fields of its own format
-    whole = F.lit(None)
-    for p in reversed(PARSERS):
-        whole = F.when(F.col("log_type") == p.log_type, envelope(p.fields(r))).otherwise(whole if p is not PARSERS[-1] else envelope({}))
+    whole = F
+    for p in PARSERS:
+        whole = whole.when(F.col("log_type") == p.log_type, envelope(p.fields(r)))
+    whole = whole.otherwise(envelope({}))
     made = typed.withColumn("_envelope", _apart(whole)).select(*typed.columns, *(F.col("_envelope")[n].alias(n) for n in kinds))
     return made.withColumn("rowID", row_id(F.col("eventID"), F.col("eventTime"))).withColumnRenamed("_json", "_raw").drop("_cells")
 
