@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigilake.functions.ids import ALERT_NAMESPACE, uuid5
 from vigilake.functions.text import parse_duration
 from vigilake.operators import alerts, stateful
+from vigilake.sources.scratch import Scratch
 
 
 def test_window_threshold_equals_a_simulation(spark):
@@ -105,3 +106,32 @@ def test_resolving_listing_and_ids(spark):
     assert [r.dedup for r in stateful.open_alerts(runs, limit=1, offset=1).collect()] == ["a"]
     assert spark.range(1).select(uuid5(F.lit("ä:b"))).first()[0] == str(uuid.uuid5(uuid.UUID(ALERT_NAMESPACE), "ä:b"))
     assert parse_duration("1h30m") == 5400 and parse_duration("7d") == 604800
+
+
+def marks(df):
+    return sorted((r.rule_id, r.dedup, r._t, r._created, r._new, r._updated, r.title) for r in df.select("rule_id", "dedup", "_t", "_created", "_new", "_updated", "title").collect())
+
+
+def test_alerts_in_parts_equal_the_fold(spark, tmp_path):
+    """Ties, gaps of many periods, matches before an open alert, one key with most matches."""
+    rng = random.Random(6)
+    minute = 60_000_000
+    rows = [("r", rng.choice("aaaab"), rng.randrange(0, 900) * minute // 2) for _ in range(400)] + [("r", "a", 5000 * minute), ("r", "a", 5000 * minute), ("q", "a", 0), ("r", "c", 7)]
+    m, scratch = matches(spark, rows), Scratch(spark, str(tmp_path / "scratch"))
+    assert marks(stateful.alerted_in_parts(m, scratch, 7)) == marks(stateful.alerted(m, 7))
+    for hot in (0, 50, 10_000):
+        assert marks(stateful.alerted(m, 7, hot_rows=hot, scratch=scratch)) == marks(stateful.alerted(m, 7))
+    old = stateful.alert_runs(matches(spark, [("r", "a", 100 * minute), ("z", "z", 0)]), 7)
+    assert marks(stateful.alerted_in_parts(m, scratch, 7, old)) == marks(stateful.alerted(m, 7, old))
+    runs = lambda **kw: sorted(map(repr, stateful.alert_runs(m, 7, old, **kw).collect()))
+    assert runs(hot_rows=100, scratch=scratch) == runs()
+
+
+def test_a_hot_key_is_many_tasks(spark, tmp_path):
+    """No window or join of the parts has a key's rows together: the largest group stays far under the key."""
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    m = spark.range(20_000).select(F.lit("r").alias("rule_id"), F.lit("k").alias("dedup"), F.lit("t").alias("title"), F.lit("LOW").alias("severity"), (F.lit(start) + F.make_dt_interval(secs=(F.col("id") * 7).cast("decimal(18,6)"))).alias("event_time"))
+    out = stateful.alerted_in_parts(m, Scratch(spark, str(tmp_path / "s")), 60)
+    assert out.where("_new").count() == out.select("_created").distinct().count() == 20_000 * 7 // 3605 + 1
+    widest = out.groupBy(F.floor(F.col("_t") / (3_600_000_000 // 64))).count().agg(F.max("count")).first()[0]
+    assert widest < 20

@@ -78,7 +78,86 @@ def dedup_events(df: DataFrame, keys: tuple[str, ...] = ("log_type", "eventID"),
 PERIOD_MINUTES = 60
 
 
-def alerted(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None) -> DataFrame:
+_KEY = ["rule_id", "dedup"]
+#: Parts of a period: how finely a key's times are dealt out.
+_PARTS = 64
+
+
+def _nearest(asked: DataFrame, given: DataFrame, width: int, after: bool) -> DataFrame:
+    """asked (rule_id, dedup, x) with ``found``: of a key's given times (rule_id, dedup, t) the smallest over x or, if not ``after``, the largest up to x.
+
+    Times are looked for within parts of ``width``, so a key is many tasks; what
+    a part does not have is that of the nearest part that has any.
+    """
+    part = lambda c: F.floor(F.col(c) / width).alias("b")
+    rows = given.select(*_KEY, part("t"), F.col("t").alias("x"), F.col("t")).unionByName(asked.select(*_KEY, part("x"), "x", F.lit(None).cast("long").alias("t")))
+    best = F.min if after else F.max
+    order = Window.partitionBy(*_KEY, "b").orderBy("x", F.col("t").isNull())
+    frame = order.rowsBetween(1, Window.unboundedFollowing) if after else order.rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("found", best("t").over(frame)).where("t is null")
+    parts = rows.groupBy(*_KEY, "b").agg(best("t").alias("edge"))
+    line = Window.partitionBy(*_KEY).orderBy("b")
+    line = line.rowsBetween(1, Window.unboundedFollowing) if after else line.rowsBetween(Window.unboundedPreceding, -1)
+    beyond = parts.withColumn("beyond", best("edge").over(line)).select(*_KEY, "b", "beyond")
+    return here.join(beyond, [*_KEY, "b"]).select(*_KEY, "x", F.coalesce("found", "beyond").alias("found"))
+
+
+def openings(times: DataFrame, period: int, scratch, before: DataFrame | None = None) -> DataFrame:
+    """(rule_id, dedup, c): when each key's alerts are created, from its distinct times (rule_id, dedup, t), by pointer doubling.
+
+    Every time points to the first one over ``period`` later. The times reached
+    from a key's first are found in as many rounds as their number has binary
+    digits: a round adds what the reached ones point to and doubles how far all
+    point. ``before`` (rule_id, dedup, c) are alerts already open, from which
+    their keys start.
+    """
+    width = max(1, period // _PARTS)
+    nodes, first = times, times.groupBy(*_KEY).agg(F.min("t").alias("c"))
+    if before is not None:
+        nodes = nodes.unionByName(before.withColumnRenamed("c", "t")).distinct()
+        first = before.unionByName(first.join(before.select(*_KEY), _KEY, "left_anti"))
+    reached = scratch.written(first)
+    asked = nodes.withColumn("x", F.col("t") + period)
+    points = _nearest(asked.drop("t"), times, width, True).where("found is not null").select(*_KEY, (F.col("x") - period).alias("t"), F.col("found").alias("to"))
+    points, n = scratch.written(points), reached.count()
+    while True:
+        more = reached.join(points, reached["c"].eqNullSafe(points["t"]) & (reached["rule_id"] == points["rule_id"]) & (reached["dedup"] == points["dedup"])).select(reached["rule_id"], reached["dedup"], F.col("to").alias("c"))
+        reached = scratch.written(reached.unionByName(more).distinct())
+        known, n = n, reached.count()
+        if n == known:
+            return reached
+        then = points.select(*_KEY, F.col("t").alias("to"), F.col("to").alias("further"))
+        points = scratch.written(points.join(then, [*_KEY, "to"]).select(*_KEY, "t", F.col("further").alias("to")))
+
+
+def alerted_in_parts(matches: DataFrame, scratch, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None) -> DataFrame:
+    """What alerted() gives, by steps none of which takes a key as a whole: for keys with more matches than a task should read. rule_id and dedup must not be null; tables are in ``scratch``."""
+    period = period_minutes * 60_000_000
+    rows = matches.withColumns({"_t": micros(F.col(ts)), "_s": (F.col(seq) if seq else F.lit(0)).cast("long"), "_updated": F.lit(None).cast("long")})
+    before = None
+    if open_alerts is not None:
+        before = open_alerts.groupBy(*_KEY).agg(F.min(micros(F.col("created_at"))).alias("c"))
+    times = scratch.written(rows.select(*_KEY, F.col("_t").alias("t")).distinct())
+    created = openings(times, period, scratch, before)
+    owner = _nearest(times.withColumnRenamed("t", "x"), created.withColumnRenamed("c", "t"), max(1, period // _PARTS), False)
+    if before is not None:  # a match before an open alert belongs to it
+        owner = owner.join(before, _KEY, "left").withColumn("found", F.coalesce("found", "c")).drop("c")
+    marked = rows.join(owner.select(*_KEY, F.col("x").alias("_t"), F.col("found").alias("_created")), [*_KEY, "_t"])
+    first = F.row_number().over(Window.partitionBy(*_KEY, "_t").orderBy("_s", "title", "severity")) == 1
+    new = first & (F.col("_t") == F.col("_created"))
+    if before is not None:
+        open_ = before.select(*_KEY, F.col("c").alias("_open"))
+        marked = marked.join(open_, _KEY, "left")
+        new = new & ~F.coalesce(F.col("_open") == F.col("_created"), F.lit(False))
+    out = marked.withColumn("_new", new).select(*rows.columns, "_created", "_new")
+    if open_alerts is None:
+        return out
+    old = open_alerts.select(*_KEY, "title", "severity", micros(F.col("created_at")).alias("_t"), F.lit(-1).cast("long").alias("_s"), micros(F.col("updated_at")).alias("_updated"))
+    old = old.join(before.withColumnRenamed("c", "_created"), _KEY).withColumn("_new", F.lit(False))
+    return out.unionByName(old, allowMissingColumns=True)
+
+
+def alerted(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None, hot_rows: int | None = None, scratch=None) -> DataFrame:
     """matches with ``_created``, when their alert was created, in microseconds, and ``_new``, whether they opened it.
 
     Of equal times the first by ``seq``, title and severity comes first. A match
@@ -87,8 +166,16 @@ def alerted(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alert
     ``_updated`` are set; ``_updated`` is null for matches.
 
     Rows are sorted within partitions and marked as they stream by, so a key of
-    any number of matches takes constant memory.
+    any number of matches takes constant memory, but is one task. With
+    ``hot_rows``, keys of more matches go by alerted_in_parts(), whose tables
+    are in ``scratch``.
     """
+    if hot_rows is not None:
+        hot = scratch.written(matches.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*_KEY))
+        if hot.take(1):
+            split = lambda df, how: None if df is None else df.join(F.broadcast(hot), _KEY, how)  # noqa: E731  at most rows / hot_rows keys
+            cold = alerted(split(matches, "left_anti"), period_minutes, split(open_alerts, "left_anti"), ts, seq)
+            return cold.unionByName(alerted_in_parts(split(matches, "left_semi"), scratch, period_minutes, split(open_alerts, "left_semi"), ts, seq), allowMissingColumns=True)
     period = period_minutes * 60_000_000
     rows = matches.withColumns({"_t": micros(F.col(ts)), "_s": (F.col(seq) if seq else F.lit(0)).cast("long"), "_updated": F.lit(None).cast("long")})
     if open_alerts is not None:
@@ -113,7 +200,7 @@ def alerted(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alert
     return ordered.mapInArrow(mark, schema)
 
 
-def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None) -> DataFrame:
+def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_alerts: DataFrame | None = None, ts: str = "event_time", seq: str | None = None, hot_rows: int | None = None, scratch=None) -> DataFrame:
     """Alerts that a table of matches leads to.
 
     matches: rule_id, dedup, title, severity and a time. An alert takes in the
@@ -124,7 +211,7 @@ def alert_runs(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, open_al
     created_at, updated_at, title, severity).
     """
     kept = matches.select("rule_id", "dedup", "title", "severity", ts, *([seq] if seq else []))
-    rows = alerted(kept, period_minutes, open_alerts, ts, seq)
+    rows = alerted(kept, period_minutes, open_alerts, ts, seq, hot_rows, scratch)
     last = F.struct(F.col("_updated").isNull(), "_t", "_s", "title", "severity")
     runs = rows.groupBy("rule_id", "dedup", F.col("_created").alias("created")).agg(F.max(F.coalesce("_updated", "_t")).alias("updated"), F.count_if(F.col("_updated").isNull()).alias("hits"), F.max_by(F.struct("title", "severity"), last).alias("last"))
     resolved = F.lead("created").over(Window.partitionBy("rule_id", "dedup").orderBy("created"))

@@ -14,6 +14,7 @@ from vigilake.operators.conditions import condition
 from vigilake.operators.dsl import cnd, rule, tf
 from vigilake.operators.pipeline import Pipeline
 from vigilake.sources import lake, ledger, notifications
+from vigilake.sources.scratch import Scratch
 from vigilake.streaming import metrics
 
 QUERIES: dict[str, tuple] = {}
@@ -367,6 +368,13 @@ def alert_dedup_fold(spark, sf_dir):
     return runs.select("dedup", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "hits")
 
 
+@query(QUERIES["alert_dedup_fold"][1])
+def alert_dedup_in_parts(spark, sf_dir):
+    """The same with every key dealt over many tasks, as keys are that hold too many matches for one."""
+    runs = stateful.alert_runs(_errors(spark, sf_dir), period_minutes=1440, hot_rows=0, scratch=Scratch(spark))
+    return runs.select("dedup", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"), "hits")
+
+
 @query(_FOLD + ", a AS (SELECT r.k, r.c, max(e.t) AS u, max(r.c) OVER (PARTITION BY r.k) AS last FROM r JOIN e ON e.k = r.k AND e.t BETWEEN r.c AND r.c + 86400000000 GROUP BY r.k, r.c) SELECT CAST(k AS VARCHAR) AS dedup, c AS created, u AS updated FROM a WHERE c = last ORDER BY u DESC, k LIMIT 20 OFFSET 5")
 def open_alerts_page(spark, sf_dir):
     runs = stateful.alert_runs(_errors(spark, sf_dir), period_minutes=1440)
