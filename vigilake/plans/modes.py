@@ -10,6 +10,7 @@ from vigilake.operators.detect import Analysis, RuleSet, analyze_by_pack
 from vigilake.operators.stateful import dedup_events
 from vigilake.rules.model import FirstSeen, Threshold
 from vigilake.sources import files, lake
+from vigilake.sources.documents import read_documents
 from vigilake.sources.notifications import s3_objects, split_batches, unwrap_envelopes
 from vigilake.sources.queue import QueueSource
 from vigilake.sources.scratch import Scratch
@@ -18,9 +19,10 @@ from vigilake.streaming.in_order import rocksdb
 from vigilake.streaming.rule_state import RuleState
 
 
-def once(spark: SparkSession, *paths: str, rules: RuleSet | None = None, whole: bool = False, scratch: Scratch | None = None) -> Analysis:
-    """Matches of the records in files."""
-    return batch(files.read_lines(spark, *paths, whole=whole), rules, scratch=scratch)
+def once(spark: SparkSession, *paths: str, rules: RuleSet | None = None, whole: bool = False, split: bool = False, scratch: Scratch | None = None) -> Analysis:
+    """Matches of the records in files: lines, with ``whole`` a document each that one task reads, with ``split`` documents of Records or a list that many tasks read."""
+    lines = read_documents(spark, *paths, scratch=scratch) if split else files.read_lines(spark, *paths, whole=whole)
+    return batch(lines, rules, scratch=scratch)
 
 
 def batch(lines: DataFrame, rules: RuleSet | None = None, hint: str | None = None, dedup: bool = False, lake_root: str | None = None, spread: int | None = None, seen: DataFrame | None = None, stateful: bool = True, past: DataFrame | None = None, scratch: Scratch | None = None) -> Analysis:
