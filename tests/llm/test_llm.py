@@ -134,6 +134,21 @@ def links_by_hand(rows, k, percent):
     return {i: links.get(s, 0) for i, s in sets.items()}
 
 
+def test_frequent_tokens_are_told_by_their_counts(spark, monkeypatch):
+    """However many rare tokens there are, those of more than 16 documents are frequent as long as they are few; else the limit rises."""
+    shared = " ".join(f"s{j}" for j in range(33))
+    rows = [(i, " ".join([*([shared] if i < 20 else []), *(f"w{i}x{j}" for j in range(200))])) for i in range(40)] + [(100 + i, " ".join(f"t{j}" for j in range(13))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    of = ngram_join.frequent_tokens
+    monkeypatch.setattr(ngram_join, "frequent_tokens", lambda *a: found.append(of(*a)) or found[-1])
+    for most, want in ((64, 40), (20, 10), (4, 0)):
+        monkeypatch.setattr(ngram_join, "MAX_FREQUENT", most)
+        got = by_id(ngram_join.ngram_jaccard_join(df))
+        assert len(found.pop()[0]) == want
+        assert len({r.component_id for r in got.values()}) == 41
+
+
 @pytest.mark.parametrize("block", [ngram_join.BLOCK_TOKENS, 1024])
 def test_ngram_join_counts_all_links(spark, docs, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 8)

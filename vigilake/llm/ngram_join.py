@@ -22,9 +22,10 @@ of the one set.
 Of two linked sets, the one whose prefix ends first has all it needs within the
 other's prefix, so they share a signature whichever class a token is in; the
 classes only decide how many others share it. Frequencies are counted over all
-documents, by 32 bits of the hash; frequent is what stands in more than
-max(16, all tokens / 2^22) documents, so at most 2^22 tokens, in 5 bytes each,
-are broadcast; each further class begins at eight times the count.
+documents, by 32 bits of the hash; frequent is what stands in more than 16
+documents or, if those are over 2^22 tokens, in more than the least count, in
+steps of an eighth, that leaves as many, so at most 2^22 tokens, in 5 bytes
+each, are broadcast; each further class begins at eight times the count.
 
 Exact copies are one class with one representative. Documents of a signature
 are compared with its largest, where their sizes allow a link. Where that
@@ -106,11 +107,16 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def frequent_tokens(docs: DataFrame, words: int, over: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted upper 32 bits of the tokens that stand in more than ``over`` documents, and the class of each, from 2 on.
+def frequent_tokens(docs: DataFrame, words: int, least: int = MIN_FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted upper 32 bits of the frequent tokens, ``most`` at most, and the class of each, from 2 on.
 
-    Tokens travel in packed ranges of the hash; a task holds one range at a time.
+    Frequent is what stands in more documents than the first of the limits
+    ``least``, an eighth more and so on that leaves so few tokens. Tokens travel
+    in packed ranges of the hash; a task holds one range at a time.
     """
+    limits = [least]
+    while limits[-1] < 1 << 40:
+        limits.append(limits[-1] + max(1, limits[-1] // 8))
     parts = max(1, shuffle_partitions(docs.sparkSession))
     ranges = max(parts, _RANGES)
 
@@ -141,11 +147,8 @@ def frequent_tokens(docs: DataFrame, words: int, over: int) -> tuple[np.ndarray,
             x = np.sort(np.concatenate(held))
             at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
             often = np.diff(np.append(at, len(x)))
-            some = often > over
-            klass = np.full(int(some.sum()), 2, np.uint8)
-            for k in range(1, CLASSES - 1):
-                klass += often[some] > over * CLASS_STEP**k
-            return pa.RecordBatch.from_arrays([pa.array([_blob(x[at[some]])], pa.binary()), pa.array([_blob(klass)], pa.binary())], names=["tokens", "classes"])
+            some = often > least
+            return pa.RecordBatch.from_arrays([pa.array([_blob(x[at[some]])], pa.binary()), pa.array([_blob(often[some].astype(np.int64))], pa.binary())], names=["tokens", "counts"])
 
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -157,7 +160,33 @@ def frequent_tokens(docs: DataFrame, words: int, over: int) -> tuple[np.ndarray,
         if held:
             yield counted()
 
-    rows = docs.mapInArrow(deal, "range int, tokens binary").repartition(parts, "range").sortWithinPartitions("range").mapInArrow(count, "tokens binary, classes binary").where("length(tokens) > 0").collect()
+    def over_limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = np.zeros(len(limits), np.int64)
+        for batch in batches:
+            for blob in batch.column("counts").to_pylist():
+                counts = np.sort(np.frombuffer(blob, np.int64))
+                passed += len(counts) - np.searchsorted(counts, limits, "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(limits)), pa.int32()), pa.array(passed)], names=["limit", "passed"])
+
+    found = docs.mapInArrow(deal, "range int, tokens binary").repartition(parts, "range").sortWithinPartitions("range").mapInArrow(count, "tokens binary, counts binary")
+    found = written(found.where("length(tokens) > 0"))
+    passed = {r["limit"]: r["passed"] for r in found.mapInArrow(over_limits, "limit int, passed long").groupBy("limit").agg(F.sum("passed").alias("passed")).collect()}
+    over = next(x for k, x in enumerate(limits) if passed.get(k, 0) <= most)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for tokens, counts in zip(batch.column("tokens").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                x, often = np.frombuffer(tokens, np.uint32), np.frombuffer(counts, np.int64)
+                some = often > over
+                klass = np.full(int(some.sum()), 2, np.uint8)
+                for k in range(1, CLASSES - 1):
+                    klass += often[some] > over * CLASS_STEP**k
+                kept.append((_blob(x[some]), _blob(klass)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.binary()) for k in (0, 1)], names=["tokens", "classes"])
+
+    rows = found.mapInArrow(classed, "tokens binary, classes binary").where("length(tokens) > 0").collect()
+    discard(found)
     tokens, classes = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[k], kind) for r in rows)]) for k, kind in enumerate((np.uint32, np.uint8)))
     order = np.argsort(tokens)
     return tokens[order], classes[order]
@@ -497,8 +526,7 @@ def _joined(source: DataFrame, words: int, percent: int) -> DataFrame:
     usable = source.where("doc_id is not null and text is not null")
     sizes = written(measured(source, words))
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    known = spark.sparkContext.broadcast(frequent_tokens(usable, words, max(MIN_FREQUENT, total // MAX_FREQUENT)))
+    known = spark.sparkContext.broadcast(frequent_tokens(usable, words, MIN_FREQUENT, MAX_FREQUENT))
     release(spark)
     heads = classes.select(F.col("class_id").alias("doc_id"))
     rows = written(signed_documents(usable, words, percent, known).join(heads, "doc_id").dropDuplicates(["doc_id"]))
