@@ -83,6 +83,20 @@ def test_shuffled_micro_batches_and_restarts_equal_a_simulation(spark, tmp_path)
     assert max(sizes) >= 8 and sizes[-1] <= 2, sizes  # rows of state: a list and a memory for each key
 
 
+def test_many_keys_are_a_bounded_number_of_calls_and_timers(spark, tmp_path):
+    """Of 3,000 keys in two micro-batches, each seen twice; the state's values don't grow with the keys."""
+    groups = in_order.GROUPS
+    parts = [[{"k": f"k{i}" if i else None, "eventID": f"{n}", "eventTime": at(n)} for i in range(3000)] for n in (1, 0)]
+    df = batches(spark, tmp_path, [*parts, [{"k": "end", "eventID": "end", "eventTime": at(5000)}]], "eventID string, k string, eventTime timestamp")
+    q = start(stateful.first_seen(df, "k", ts="eventTime", tie="eventID", late="10 minutes", keep_us=60 * 60_000_000), "many", str(tmp_path / "cp"))
+    q.awaitTermination()
+    got = [(r.k, r.eventID) for r in spark.read.parquet(str(tmp_path / "cp-out")).collect()]
+    assert sorted(got, key=str) == sorted(((f"k{i}" if i else None, "0") for i in range(3000)), key=str)
+    seen = [p.stateOperators[0] for p in q.recentProgress]
+    assert max(s.numRowsTotal for s in seen) <= groups and max(s.customMetrics["numRegisteredTimers"] for s in seen) <= groups
+    assert seen[-1].numRowsTotal <= 1
+
+
 def test_a_row_dated_in_the_future_makes_no_other_late(spark, tmp_path):
     one = [{"k": "x", "eventID": "a", "eventTime": at(0)}, {"k": "x", "eventID": "far", "eventTime": "2999-01-01T00:00:00Z"}]
     two = [{"k": "x", "eventID": "b", "eventTime": at(5)}, {"k": "y", "eventID": "c", "eventTime": "2999-01-01T00:00:00Z"}]

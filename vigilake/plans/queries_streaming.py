@@ -15,7 +15,8 @@ from vigilake.streaming.in_order import rocksdb
 
 from .queries_core import _FOLD, QUERIES, load, query
 
-_PARTS, _FILES, _DAY = 4, 2, 86_400
+#: micro-batches, files of one at least, rows of a file at most
+_PARTS, _FILES, _ROWS, _DAY = 4, 2, 250_000, 86_400
 
 
 def replayed(events: DataFrame, run: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
@@ -28,17 +29,18 @@ def replayed(events: DataFrame, run: Callable[[DataFrame], DataFrame], ts: str =
     root = Scratch(spark).root
     arrival = F.unix_seconds(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(*events.columns), F.lit(_DAY))
     dealt = events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_arrival", arrival)
-    first, last, newest = dealt.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts)).first()
+    first, last, newest, rows = dealt.agg(F.min("_arrival"), F.max("_arrival"), F.max(ts), F.count(F.lit(1))).first()
+    files = max(_FILES, rows // (_PARTS * _ROWS))
     if first is None:
         first = last = 0
     width = (last - first) // _PARTS + 1
     late = f"{width + 2 * _DAY} seconds"
     for k in range(_PARTS):
         part = dealt.where((F.col("_arrival") >= first + k * width) & (F.col("_arrival") < first + (k + 1) * width)).drop("_arrival")
-        part.repartition(_FILES).write.mode("append").parquet(f"{root}/in")
+        part.repartition(files).write.mode("append").parquet(f"{root}/in")
     end = dealt.limit(1).select(*(F.lit(None).cast(dealt.schema[c].dataType).alias(c) if c != ts else (F.lit(newest) + F.expr(f"interval {late}") + F.expr("interval 1 minute")).alias(c) for c in events.columns))
     end.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(dealt.drop("_arrival").schema).option("maxFilesPerTrigger", _FILES).parquet(f"{root}/in")
+    stream = spark.readStream.schema(dealt.drop("_arrival").schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     out = run(stream, late)
     with rocksdb(spark):
         q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()

@@ -2,18 +2,24 @@
 
 Rows wait in list state until the watermark has passed them, so what comes out
 over any order of arrival within the allowed lateness is what a sorted batch
-gives. A key's memory is one value; an event-time timer drops it, and with it
-all of the key's state, once no row still to come can depend on it. State is
-thus what lies between the watermark and the newest row, and memories within
+gives. Keys are dealt into groups, each of which is one call in a micro-batch,
+as a call for each key costs far more than its rows. The memories of a group's
+keys are packed into a few values; an event-time timer drops one once no row still to come can
+depend on it, at the latest when half of those that lie between are due. State
+is thus what lies between the watermark and the newest row, and memories within
 reach of the watermark.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -39,8 +45,7 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class Fold:
     """What is done with a key's rows: one step for each, in order."""
 
-    #: SQL types of the memory's fields and of what a step adds to a row, with their names
-    memory: str = ""
+    #: names and SQL types of what a step adds to a row; a memory is a tuple that JSON can say
     added: str = ""
 
     def step(self, key: tuple, memory: tuple | None, at: int) -> tuple[tuple, tuple | None]:
@@ -52,52 +57,127 @@ class Fold:
         return None
 
 
+#: keys of a stream are dealt into so many groups
+GROUPS = 1024
+#: and the memories of a group's keys into so many values
+SLOTS = 16
+_ROWS = pa.schema([("key", pa.string()), ("at", pa.int64()), ("tie", pa.string()), ("body", pa.string())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _ROWS) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 class _Processor(StatefulProcessor):
+    """Works on a group of keys. Its waiting rows are packed, one piece of the list for each micro-batch; it has one timer, for the first row or the next memories to go."""
+
     def __init__(self, fold: Fold, names: list[str]):
         self.fold, self.names = fold, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie string, body string")
-        self.memory = handle.getValueState("memory", self.fold.memory)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.memory = handle.getMapState("memory", "slot int", "memories string")
+        self.forget = handle.getValueState("forget", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [x for df in rows for x in zip(df["at"].tolist(), df["tie"].tolist(), df["body"].tolist(), strict=True)]
-        self.waiting.appendList(new)
-        self._wake(min(new)[0])
-        yield self._frame([])
+        first = None
+        for df in rows:
+            if len(df):
+                self.waiting.appendValue((_packed(pa.Table.from_pandas(df[_ROWS.names], _ROWS, preserve_index=False)),))
+                first = int(df["at"].min()) if first is None else min(first, int(df["at"].min()))
+        timers = list(self.handle.listTimers())
+        if first is not None and all(t * 1000 >= first for t in timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self._wake(first)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get())
-        due = [r for r in waiting if r[0] <= passed]
-        memory, out = self.memory.get() if self.memory.exists() else None, []
-        for at, _, body in due:
+        pieces = [pa.ipc.open_stream(rows).read_all() for (rows,) in self.waiting.get()] if self.waiting.exists() else []
+        table = pa.concat_tables([_ROWS.empty_table(), *pieces])
+        ready = pc.less_equal(table["at"], passed)
+        due, left = table.filter(ready), table.filter(pc.invert(ready))
+        forget, out = self.forget.get()[0] if self.forget.exists() else None, []
+        if len(due):
+            if len(left):
+                self.waiting.put([(_packed(left),)])
+            else:
+                self.waiting.clear()
+            out, until = self._folded(due.sort_by([(n, "ascending") for n in _ROWS.names]))
+            if until and forget is None:
+                forget = self._half(until)
+                self.forget.update((forget,))
+        if forget is not None and forget <= passed:
+            forget = self._forgotten(passed)
+        times = [*([pc.min(left["at"]).as_py()] if len(left) else []), *([] if forget is None else [forget])]
+        if times:
+            self._wake(min(times))
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
+
+    def _folded(self, due: pa.Table) -> tuple[list[tuple], list[int]]:
+        """The rows that come out of those due, by key and time, and until when the new memories matter."""
+        slots = {k: zlib.crc32(k.encode()) % SLOTS for k in due["key"].unique().to_pylist()}
+        held = {n: self._slot(n) for n in set(slots.values())}
+        out, until, changed, now = [], [], set(), None
+        memory = key = None
+
+        def settle() -> None:
+            if now is not None and memory is not None and memory != held[slots[now]].get(now):
+                held[slots[now]][now] = memory
+                changed.add(slots[now])
+                end = self.fold.until(key, memory)
+                if end is not None:
+                    until.append(end)
+
+        for k, at, body in zip(due["key"].to_pylist(), due["at"].to_pylist(), due["body"].to_pylist(), strict=True):
+            if k != now:
+                settle()
+                now, key, memory = k, tuple(json.loads(k)), held[slots[k]].get(k)
             memory, more = self.fold.step(key, memory, at)
             if more is not None:
                 out.append((*key, at, body, *more))
-        left = waiting[len(due) :]
-        if due:
-            self.memory.update(memory)
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-        until = None if memory is None else self.fold.until(key, memory)
-        if left:
-            self._wake(left[0][0])
-        elif until is not None and until < passed:
-            self.memory.clear()
-        elif until is not None:
-            self._wake(until + 1000)
-        yield self._frame(out)
+        settle()
+        for n in changed:
+            self.memory.updateValue((n,), (json.dumps(held[n]),))
+        return out, until
+
+    def _slot(self, n: int) -> dict[str, tuple]:
+        found = self.memory.getValue((n,))
+        return {k: tuple(m) for k, m in json.loads(found[0]).items()} if found is not None else {}
+
+    @staticmethod
+    def _half(until: list[int]) -> int:
+        # by then about half of them can go, so each is looked at a few times
+        return (min(until) + max(until)) // 2 + 1
+
+    def _forgotten(self, passed: int) -> int | None:
+        """Drops the memories that matter no more; when to do so again."""
+        until = []
+        for n in [n for (n,) in self.memory.keys()] if self.memory.exists() else []:
+            held = self._slot(n)
+            ends = {k: self.fold.until(tuple(json.loads(k)), m) for k, m in held.items()}
+            left = {k: m for k, m in held.items() if ends[k] >= passed}
+            until += [ends[k] for k in left]
+            if not left:
+                self.memory.removeKey((n,))
+            elif len(left) < len(held):
+                self.memory.updateValue((n,), (json.dumps(left),))
+        if not until:
+            self.forget.clear()
+            return None
+        again = max(self._half(until), passed + 1)
+        self.forget.update((again,))
+        return again
 
     def _wake(self, at: int) -> None:
         # a timer is due from the first watermark behind it
-        self.handle.registerTimer(max(0, at // 1000 - 1))
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.names)
+        self.handle.registerTimer(max(0, -(-at // 1000) - 1))
 
     def close(self) -> None:
         pass
@@ -109,18 +189,21 @@ def with_clock(df: DataFrame, ts: Column, late: str, ahead: str = "1 day") -> Da
     return df.withColumn("_ts", F.when(given > clock + F.expr(f"interval {ahead}"), clock).otherwise(given)).withWatermark("_ts", late)
 
 
-def folded(df: DataFrame, keys: list[str], tie: str, fold: Fold) -> DataFrame:
+def folded(df: DataFrame, keys: list[str], tie: str, fold: Fold, groups: int = GROUPS) -> DataFrame:
     """The rows of a stream that the fold lets out, with what it adds, and ``event_us``, their time.
 
     df comes from with_clock(). Rows of a key are taken by ``_ts`` and then
-    ``tie``; those that are late are dropped. Keys are taken as text. Start the
-    query within ``rocksdb(spark)``, in append mode.
+    ``tie``; those that are late are dropped. Keys are taken as text and dealt
+    into ``groups``; what waits of one is held by a task, so take more of them
+    for streams with over some 10^8 rows within ``late``. A checkpoint is bound
+    to their number. Start the query within ``rocksdb(spark)``, in append mode.
     """
     others = [c for c in df.columns if c not in (*keys, "_ts")]
-    rows = df.select(*(F.col(k).cast("string").alias(k) for k in keys), "_ts", micros(F.col("_ts")).alias("at"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie"), F.to_json(F.struct(*others), _JSON).alias("body")).where("at is not null")
+    key = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"), key.alias("key"), "_ts", micros(F.col("_ts")).alias("at"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie"), F.to_json(F.struct(*others), _JSON).alias("body")).where("at is not null")
     named = [*(f"`{k}` string" for k in keys), "at long", "body string", *([fold.added] if fold.added else [])]
     names = [*keys, "at", "body", *(x.split()[0] for x in fold.added.split(",") if x)]
-    done = rows.groupBy(*keys).transformWithStateInPandas(_Processor(fold, names), ", ".join(named), "Append", "EventTime")
+    done = rows.groupBy("_group").transformWithStateInPandas(_Processor(fold, names), ", ".join(named), "Append", "EventTime")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in others)
     whole = done.withColumn("body", F.from_json("body", kinds, _JSON))
     return whole.select(*keys, *(F.col("body")[c].alias(c) for c in others), *names[len(keys) + 2 :], F.col("at").alias("event_us"))
@@ -129,8 +212,6 @@ def folded(df: DataFrame, keys: list[str], tie: str, fold: Fold) -> DataFrame:
 class Crossing(Fold):
     """Lets out the rows that make it exactly ``count`` rows in the window that ends with them. limits: (window in microseconds, count), or those by the key's first part."""
 
-    memory = "times array<long>"
-
     def __init__(self, limits: tuple[int, int] | dict[str, tuple[int, int]]):
         self.limits = limits
 
@@ -151,14 +232,12 @@ class Crossing(Fold):
 class First(Fold):
     """Lets out the first row of a key; ``keep`` is for how many microseconds behind a key's last row it counts as seen, for ever if none."""
 
-    memory = "last long"
-
     def __init__(self, keep: int | None = None):
         self.keep = keep
 
     def step(self, key: tuple, memory: tuple | None, at: int) -> tuple[tuple, tuple | None]:
         known = memory is not None and (self.keep is None or at - memory[0] <= self.keep)
-        return (at,), None if known else ()
+        return memory if known and self.keep is None else (at,), None if known else ()
 
     def until(self, key: tuple, memory: tuple) -> int | None:
         return None if self.keep is None else memory[0] + self.keep
@@ -167,7 +246,6 @@ class First(Fold):
 class Alerting(Fold):
     """Lets out every row with the alert it belongs to, which takes in rows for ``period`` microseconds from its creation."""
 
-    memory = "created long"
     added = "created long, is_new_alert boolean"
 
     def __init__(self, period: int):
