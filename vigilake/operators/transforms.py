@@ -138,8 +138,10 @@ class Compiler:
             name, key = ("alert", key[len("alert.") :]) if key.startswith("alert.") else ("meta", key)
         else:
             name, key = "data", path
-        hit = guard & value.isNotNull()
-        return df.withColumn(name, F.when(hit, json_set(F.when(hit, F.col(name)), key, F.when(hit, value))).otherwise(F.col(name)))
+        new = self._name("new")
+        df = df.withColumn(new, F.when(guard, value))
+        hit = F.col(new).isNotNull()
+        return df.withColumn(name, F.when(hit, json_set(F.when(hit, F.col(name)), key, F.col(new))).otherwise(F.col(name))).drop(new)
 
     def apply(self, df: DataFrame, configs: list[Config], guard: Column) -> DataFrame:
         for c in configs:
@@ -279,14 +281,18 @@ class Compiler:
         return self._resolved(df, config, guard, "dns_forward", "_ips", F.to_json)
 
     def tf_enrich_geoip(self, df, config, s, guard):
-        text = find(source_key(config)).text
-        n = ipv4_number(text)
+        # each is a column of its own, as the optimizer would write it out in every test otherwise
+        address, number = self._name("address"), self._name("number")
+        df = df.withColumn(address, F.when(guard, find(source_key(config)).text))
+        text = F.col(address)
+        df = df.withColumn(number, ipv4_number(text))
+        n = F.col(number)
         private = in_networks(n, RFC1918)
         loopback = in_networks(n, ("127.0.0.0/8",))
         unicast = ~(in_networks(n, ("127.0.0.0/8", "224.0.0.0/4", "169.254.0.0/16", "0.0.0.0/32", "255.255.255.255/32")))
         v4 = F.to_json(F.struct((unicast & ~private).alias("is_global"), loopback.alias("is_loopback"), private.alias("is_private")))
-        df = self._set(df, guard, target_key(config) or source_key(config) + "_geo", F.when(text.rlike(IPV4), v4).when(text.contains(":"), _geo_v6(F.when(text.contains(":"), text))))
-        return df
+        value = F.when(n.isNotNull(), v4).when(text.contains(":"), _geo_v6(F.when(text.contains(":"), text)))
+        return self._set(df, guard, target_key(config) or source_key(config) + "_geo", value).drop(address, number)
 
     def tf_enrich_http_get(self, df, config, s, guard):
         fetch = self.fetch
