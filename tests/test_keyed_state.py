@@ -9,9 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_streaming import at, batches, collected, record, stateful_rules
+from vigilake.operators.detect import RuleSet
+from vigilake.operators.stateful import event_time
 from vigilake.plans import modes
+from vigilake.rules.model import FirstSeen, Threshold
 from vigilake.sources import queue
-from vigilake.streaming import in_order, stateful
+from vigilake.streaming import detection, in_order, stateful
 from vigilake.streaming.rule_state import RuleState
 
 
@@ -97,6 +100,46 @@ def test_many_keys_are_a_bounded_number_of_calls_and_timers(spark, tmp_path):
     assert seen[-1].numRowsTotal <= 1
 
 
+def test_rules_of_all_kinds_are_one_keyed_state(spark, tmp_path):
+    """Each further one would read the micro-batch and evaluate the rules again; keys to be kept for ever lie beside those to be forgotten."""
+    one = [{"log_type": "Own", "eventID": f"{t:03}", "eventTime": at(t), "payload": json.dumps({"kind": kind, "who": who})} for kind, who, t in (("few", "a", 0), ("few", "a", 1), ("new", "a", 2), ("few", "a", 700), ("new", "a", 701), ("new", "b", 702))]
+    two = [{"log_type": "Own", "eventID": f"{t:04}", "eventTime": at(t), "payload": json.dumps({"kind": kind, "who": who})} for kind, who, t in (("end", "z", 9000), ("new", "a", 8000), ("few", "a", 8001))]
+    end = [{"log_type": "Own", "eventID": "end", "eventTime": at(20000), "payload": json.dumps({"kind": "end"})}]
+    df = batches(spark, tmp_path, [one, two, end], "log_type string, eventID string, eventTime timestamp, payload string").withColumn("payload", F.parse_json("payload"))
+    own = lambda e: [e.rule("few", e.eq("kind", "few"), state=Threshold(e.s("who"), 600, 2)), e.rule("new", e.eq("kind", "new"), state=FirstSeen(e.s("who")))]
+    q = start(detection.matches(df, RuleSet("intended", []).add(own, ("Own",)), "2 hours"), "kinds", str(tmp_path / "cp"))
+    q.awaitTermination()
+    got = [(r.rule_id, r.eventID) for r in spark.read.parquet(str(tmp_path / "cp-out")).collect()]
+    assert sorted(got) == [("few", "001"), ("new", "002"), ("new", "702")]
+    assert {len(p.stateOperators) for p in q.recentProgress} == {1}
+
+
+def test_state_has_no_more_partitions_than_asked_for(spark, tmp_path):
+    """The session's number for shuffles would be a worker, a store and a commit each in every micro-batch, for however few rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        df = batches(spark, tmp_path, [[{"k": "x", "eventID": "a", "eventTime": at(0)}], [{"k": "x", "eventID": "b", "eventTime": at(1)}]], "eventID string, k string, eventTime timestamp")
+        for asked, got in ((3, 3), (20, 9)):
+            with in_order.rocksdb(spark, asked):
+                out = stateful.first_seen(df, "k", ts="eventTime", tie="eventID")
+                out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / f"cp{asked}")).trigger(availableNow=True).start().awaitTermination()
+            assert len([n for n in os.listdir(tmp_path / f"cp{asked}/state/0") if n.isdigit()]) == got
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_event_time_looks_each_field_up_once(spark):
+    given = [None, "{}", '{"Datetime": ""}', '{"p_event_time": "", "Datetime": "2024-01-01 00:00:01"}', '{"EdgeStartTimestamp": 1704067202}', '{"p_event_time": "x", "Datetime": "2024-01-01T00:00:00Z"}', '{"date_create": "1704067203.5"}', '{"Datetime": null, "date_create": "2024-01-01T02:00:04+02:00"}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
+    time = event_time(F.parse_json("x"), F.timestamp_seconds(F.lit(0)))
+    base = 1704067200 * 1_000_000
+    got = [r.t for r in df.select("i", F.unix_micros(time).alias("t")).orderBy("i").collect()]
+    assert got == [0, 0, 0, base + 1_000_000, base + 2_000_000, 0, base + 3_500_000, base + 4_000_000]
+    plan = df.select(event_time(F.parse_json("x"), F.timestamp_seconds(F.lit(0))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$['date_create']") == 1
+
+
 def test_a_row_dated_in_the_future_makes_no_other_late(spark, tmp_path):
     one = [{"k": "x", "eventID": "a", "eventTime": at(0)}, {"k": "x", "eventID": "far", "eventTime": "2999-01-01T00:00:00Z"}]
     two = [{"k": "x", "eventID": "b", "eventTime": at(5)}, {"k": "y", "eventID": "c", "eventTime": "2999-01-01T00:00:00Z"}]

@@ -24,9 +24,14 @@ def event_time(payload: Column, otherwise: Column) -> Column:
     from vigilake.functions.paths import at
     from vigilake.functions.text import any_timestamp
 
-    first = F.coalesce(*(F.nullif(at(payload, p), F.lit("")) for p in ("p_event_time", "Datetime", "EdgeStartTimestamp", "date_create")))
-    number = first.try_cast("double")
-    return F.coalesce(F.when(number.isNotNull(), F.timestamp_micros((number * 1_000_000).cast("bigint"))), any_timestamp(first), otherwise)
+    given = F.filter(F.array(*(at(payload, p) for p in ("p_event_time", "Datetime", "EdgeStartTimestamp", "date_create"))), lambda x: x != "")
+
+    def read(first: Column) -> Column:
+        number = first.try_cast("double")
+        return F.coalesce(F.when(number.isNotNull(), F.timestamp_micros((number * 1_000_000).cast("bigint"))), any_timestamp(first))
+
+    # over a list, so each field is looked up once, however often its value is read
+    return F.coalesce(F.get(F.transform(F.slice(given, 1, 1), read), F.lit(0)), otherwise)
 
 
 def window_count(df: DataFrame, keys: list[str], ts: str, order: list[str], window: int, name: str = "n") -> DataFrame:

@@ -16,7 +16,9 @@ from vigilake.streaming.in_order import rocksdb
 from .queries_core import _FOLD, QUERIES, load, query
 
 #: micro-batches, files of one at least, rows of a file at most
-_PARTS, _FILES, _ROWS, _DAY = 4, 2, 250_000, 86_400
+_PARTS, _FILES, _ROWS, _DAY = 4, 2, 50_000, 86_400
+#: partitions of state at least, if the session has so many, and rows for each further one
+_STATES, _STATE_ROWS = 24, 250_000
 
 
 def replayed(events: DataFrame, run: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
@@ -42,7 +44,7 @@ def replayed(events: DataFrame, run: Callable[[DataFrame], DataFrame], ts: str =
     end.coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(dealt.drop("_arrival").schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     out = run(stream, late)
-    with rocksdb(spark):
+    with rocksdb(spark, max(_STATES, rows // _STATE_ROWS)):
         q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from vigilake.operators.classify import with_payload
 from vigilake.operators.detect import LONG_AGO, RuleSet, found_hits
 from vigilake.operators.stateful import event_time
-from vigilake.rules.model import FirstSeen, Threshold
+from vigilake.rules.model import Threshold
 
-from .in_order import Crossing, First, folded, with_clock
+from .in_order import ByFirstPart, Crossing, First, folded, with_clock
 
 
 def matches(events: DataFrame, rules: RuleSet, late: str = "1 hour", only: tuple[str, ...] | None = None, keep: tuple[str, ...] = ("eventID", "eventTime", "eventSource", "eventName"), forget_firsts_us: int | None = None) -> DataFrame:
@@ -29,10 +29,9 @@ def matches(events: DataFrame, rules: RuleSet, late: str = "1 hour", only: tuple
     columns = ["log_type", *(c for c in keep if c in events.columns), "rule_id", "title", "severity", "dedup"]
     out = found.where(~F.col("rule_id").isin(*states)).select(*columns)
     tie = F.concat_ws("\0", *(c for c in ("eventID", "title") if c in found.columns))
-    limits = {k: (s.seconds * 1_000_000, s.count) for k, s in states.items() if isinstance(s, Threshold)}
-    firsts = [k for k, s in states.items() if isinstance(s, FirstSeen)]
-    for ids, fold in ((list(limits), Crossing(limits)), (firsts, First(forget_firsts_us))):
-        if ids:
-            rows = found.where(F.when(F.col("_ts") >= LONG_AGO, F.col("rule_id").isin(*ids))).drop("_at").withColumn("_tie", tie)
-            out = out.unionByName(folded(rows, ["rule_id", "state"], "_tie", fold).select(*columns))
+    folds = {k: Crossing((s.seconds * 1_000_000, s.count)) if isinstance(s, Threshold) else First(forget_firsts_us) for k, s in states.items()}
+    if folds:
+        # all in one keyed state, as each further one reads the micro-batch and evaluates the rules once more
+        rows = found.where(F.when(F.col("_ts") >= LONG_AGO, F.col("rule_id").isin(*folds))).drop("_at").withColumn("_tie", tie)
+        out = out.unionByName(folded(rows, ["rule_id", "state"], "_tie", ByFirstPart(folds)).select(*columns))
     return out

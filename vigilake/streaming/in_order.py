@@ -28,18 +28,29 @@ from vigilake.operators.stateful import micros
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started inside keep their state in RocksDB, as this module's operators need it."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+def rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, as this module's operators need it.
+
+    Each partition of state is a worker, a store and a commit in every
+    micro-batch, whatever it holds. ``partitions`` is how many a new checkpoint
+    gets at most, in place of the session's number for shuffles.
+    """
+    settings = {_PROVIDER: ROCKSDB}
+    if partitions is not None:
+        settings[_PARTITIONS] = str(min(partitions, int(spark.conf.get(_PARTITIONS))))
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Fold:
@@ -162,8 +173,8 @@ class _Processor(StatefulProcessor):
         for n in [n for (n,) in self.memory.keys()] if self.memory.exists() else []:
             held = self._slot(n)
             ends = {k: self.fold.until(tuple(json.loads(k)), m) for k, m in held.items()}
-            left = {k: m for k, m in held.items() if ends[k] >= passed}
-            until += [ends[k] for k in left]
+            left = {k: m for k, m in held.items() if ends[k] is None or ends[k] >= passed}
+            until += [ends[k] for k in left if ends[k] is not None]
             if not left:
                 self.memory.removeKey((n,))
             elif len(left) < len(held):
@@ -243,6 +254,19 @@ class First(Fold):
         return None if self.keep is None else memory[0] + self.keep
 
 
+class ByFirstPart(Fold):
+    """Takes each key by the fold for its first part; none of them adds anything."""
+
+    def __init__(self, folds: dict[str, Fold]):
+        self.folds = folds
+
+    def step(self, key: tuple, memory: tuple | None, at: int) -> tuple[tuple, tuple | None]:
+        return self.folds[key[0]].step(key, memory, at)
+
+    def until(self, key: tuple, memory: tuple) -> int | None:
+        return self.folds[key[0]].until(key, memory)
+
+
 class Alerting(Fold):
     """Lets out every row with the alert it belongs to, which takes in rows for ``period`` microseconds from its creation."""
 
