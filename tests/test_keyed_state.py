@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tests.test_streaming import at, batches, collected, record, stateful_rules
 from vigilake.operators.detect import RuleSet
 from vigilake.operators.stateful import event_time
-from vigilake.plans import modes
+from vigilake.plans import modes, queries_streaming
 from vigilake.rules.model import FirstSeen, Threshold
 from vigilake.sources import queue
+from vigilake.sources.scratch import Scratch
 from vigilake.streaming import detection, in_order, stateful
 from vigilake.streaming.rule_state import RuleState
 
@@ -129,6 +130,13 @@ def test_state_has_no_more_partitions_than_asked_for(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_a_replay_of_few_rows_has_few_partitions_of_state(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries_streaming, "_STATES", 2)
+    monkeypatch.setattr(queries_streaming, "Scratch", lambda s: Scratch(s, str(tmp_path / "run")))
+    assert queries_streaming.stream_alerts(spark, small).count() > 0
+    assert len([n for n in os.listdir(tmp_path / "run/checkpoint/state/0") if n.isdigit()]) == 2
+
+
 def test_event_time_looks_each_field_up_once(spark):
     given = [None, "{}", '{"Datetime": ""}', '{"p_event_time": "", "Datetime": "2024-01-01 00:00:01"}', '{"EdgeStartTimestamp": 1704067202}', '{"p_event_time": "x", "Datetime": "2024-01-01T00:00:00Z"}', '{"date_create": "1704067203.5"}', '{"Datetime": null, "date_create": "2024-01-01T02:00:04+02:00"}']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string")
