@@ -5,6 +5,7 @@ import os
 import random
 from datetime import UTC, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,52 @@ def test_many_keys_are_a_bounded_number_of_calls_and_timers(spark, tmp_path):
     assert seen[-1].numRowsTotal <= 1
 
 
+def test_rows_of_a_group_reach_its_state_as_one_piece_of_each_task(spark, tmp_path, monkeypatch):
+    """Spark takes what it hands to the processor apart row by row."""
+    counted = str(tmp_path / "counted")
+
+    class Counting(in_order._Processor):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            frames = list(rows)
+            with open(counted, "a") as f:
+                f.write(f"{sum(map(len, frames))}\n")
+            yield from super().handleInputRows(key, iter(frames), timerValues)
+
+    monkeypatch.setattr(in_order, "_Processor", Counting)
+    rows = [(f"k{i % 40}", i % 600, f"{i:05}") for i in range(6000)]
+    parts = [[{"k": k, "eventID": i, "eventTime": at(t)} for k, t, i in rows], [{"k": "end", "eventID": "end", "eventTime": at(5000)}]]
+    df = batches(spark, tmp_path, parts, "eventID string, k string, eventTime timestamp")
+    start(stateful.threshold_crossed(df, "k", "eventTime", 20 * 60_000_000, 3, late="1 day"), "pieces", str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "cp-out")).collect()) == sorted(crossings(rows, 20, 3))
+    assert 2 <= sum(map(int, open(counted))) <= 41
+
+
+def test_pieces_hold_all_rows_of_a_group_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(in_order, "_PACK_ROWS", 100)
+    rng = random.Random(5)
+    rows = [(rng.randrange(7), f"k{rng.randrange(50)}", rng.randrange(10**6), f"{i}", None if i % 9 == 0 else "b" * (i % 5)) for i in range(1000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("_group", "key", "at", "tie", "body"), r, strict=True)) for r in rows[k : k + 30]], pa.schema([("_group", pa.int64()), *in_order._ROWS])) for k in range(0, 1000, 30)]
+    got, pieces = [], [p for b in in_order._pieces(iter([*batches, batches[0].slice(0, 0)])) for p in b.to_pylist()]
+    for p in pieces:
+        held = pa.ipc.open_stream(p["rows"]).read_all().to_pylist()
+        assert 0 < len(held) <= 120 and p["first"] == min(r["at"] for r in held) and p["_ts"].timestamp() * 1e6 == pytest.approx(max(r["at"] for r in held))
+        got += [(p["_group"], *r.values()) for r in held]
+    assert sorted(got, key=str) == sorted(rows, key=str) and len(pieces) == 7 * 9
+    assert list(in_order._pieces(iter([]))) == []
+
+
+def test_late_rows_are_dropped_though_they_share_a_piece_with_others(spark, tmp_path):
+    """Of a key that is remembered, a row behind what has been folded would come out of order."""
+    row = lambda k, i, t: {"k": k, "eventID": i, "eventTime": at(t)}
+    parts = [[row("x", "a", 100), row("x", "b", 300)], [row("x", "c", 310)], [row("x", "late", 0), row("x", "d", 305), row("x", "e", 320)], [row("x", "gone", 1)], [row("x", "end", 9000)]]
+    df = batches(spark, tmp_path, parts, "eventID string, k string, eventTime timestamp").coalesce(1)
+    q = start(stateful.threshold_crossed(df, "k", "eventTime", 6 * 60 * 60_000_000, 5, late="10 minutes"), "late", str(tmp_path / "cp"))
+    q.awaitTermination()
+    # a, b, d, c, e: with "late" or "gone" among them the fifth would be another
+    assert [r.event_id for r in spark.read.parquet(str(tmp_path / "cp-out")).collect()] == ["e"]
+    assert q.recentProgress[3].stateOperators[0].numRowsDroppedByWatermark == 1
+
+
 def test_rules_of_all_kinds_are_one_keyed_state(spark, tmp_path):
     """Each further one would read the micro-batch and evaluate the rules again; keys to be kept for ever lie beside those to be forgotten."""
     one = [{"log_type": "Own", "eventID": f"{t:03}", "eventTime": at(t), "payload": json.dumps({"kind": kind, "who": who})} for kind, who, t in (("few", "a", 0), ("few", "a", 1), ("new", "a", 2), ("few", "a", 700), ("new", "a", 701), ("new", "b", 702))]

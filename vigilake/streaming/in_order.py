@@ -3,7 +3,9 @@
 Rows wait in list state until the watermark has passed them, so what comes out
 over any order of arrival within the allowed lateness is what a sorted batch
 gives. Keys are dealt into groups, each of which is one call in a micro-batch,
-as a call for each key costs far more than its rows. The memories of a group's
+as a call for each key costs far more than its rows. A task packs the rows of a
+group into one piece before they are shuffled, as Spark hands the processor one
+row after the other. The memories of a group's
 keys are packed into a few values; an event-time timer drops one once no row still to come can
 depend on it, at the latest when half of those that lie between are due. State
 is thus what lies between the watermark and the newest row, and memories within
@@ -17,6 +19,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,18 +75,43 @@ class Fold:
 GROUPS = 1024
 #: and the memories of a group's keys into so many values
 SLOTS = 16
+#: a task packs them when it has so many rows, or bytes of them
+_PACK_ROWS, _PACK_BYTES = 500_000, 1 << 26
 _ROWS = pa.schema([("key", pa.string()), ("at", pa.int64()), ("tie", pa.string()), ("body", pa.string())])
+_PIECES = "_group long, _ts timestamp, first long, rows binary"
 
 
 def _packed(table: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, _ROWS) as writer:
+    with pa.ipc.new_stream(out, _ROWS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
         writer.write_table(table)
     return out.getvalue().to_pybytes()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows packed by group, with the times of the last and the first of each piece."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _PACK_ROWS or size >= _PACK_BYTES:
+            yield _by_group(pa.Table.from_batches(held))
+            held, rows, size = [], 0, 0
+    if rows:
+        yield _by_group(pa.Table.from_batches(held))
+
+
+def _by_group(table: pa.Table) -> pa.RecordBatch:
+    table = table.combine_chunks().sort_by([("_group", "ascending"), ("at", "ascending")]).combine_chunks()
+    group, at, rows = table["_group"].to_numpy(), table["at"].to_numpy(), table.select(_ROWS.names).cast(_ROWS)
+    start = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    end = np.append(start[1:], len(group))
+    packed = [_packed(rows.slice(a, b - a)) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return pa.record_batch([pa.array(group[start]), pa.array(at[end - 1]).cast(pa.timestamp("us", "UTC")), pa.array(at[start]), pa.array(packed, pa.binary())], ["_group", "_ts", "first", "rows"])
+
+
 class _Processor(StatefulProcessor):
-    """Works on a group of keys. Its waiting rows are packed, one piece of the list for each micro-batch; it has one timer, for the first row or the next memories to go."""
+    """Works on a group of keys. Its waiting rows are pieces of the list, as tasks have packed them; it has one timer, for the first row or the next memories to go."""
 
     def __init__(self, fold: Fold, names: list[str]):
         self.fold, self.names = fold, names
@@ -93,13 +121,14 @@ class _Processor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "rows binary")
         self.memory = handle.getMapState("memory", "slot int", "memories string")
         self.forget = handle.getValueState("forget", "at long")
+        self.passed = handle.getValueState("passed", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first = None
         for df in rows:
-            if len(df):
-                self.waiting.appendValue((_packed(pa.Table.from_pandas(df[_ROWS.names], _ROWS, preserve_index=False)),))
-                first = int(df["at"].min()) if first is None else min(first, int(df["at"].min()))
+            for at, piece in zip(df["first"], df["rows"], strict=True):
+                self.waiting.appendValue((piece,))
+                first = int(at) if first is None else min(first, int(at))
         timers = list(self.handle.listTimers())
         if first is not None and all(t * 1000 >= first for t in timers):
             for t in timers:
@@ -110,7 +139,7 @@ class _Processor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         pieces = [pa.ipc.open_stream(rows).read_all() for (rows,) in self.waiting.get()] if self.waiting.exists() else []
-        table = pa.concat_tables([_ROWS.empty_table(), *pieces])
+        table = pa.concat_tables([_ROWS.empty_table(), *pieces]).combine_chunks()
         ready = pc.less_equal(table["at"], passed)
         due, left = table.filter(ready), table.filter(pc.invert(ready))
         forget, out = self.forget.get()[0] if self.forget.exists() else None, []
@@ -119,12 +148,20 @@ class _Processor(StatefulProcessor):
                 self.waiting.put([(_packed(left),)])
             else:
                 self.waiting.clear()
+            if self.passed.exists():
+                # Spark drops a piece by its last row; what else comes behind rows that have been folded is late, too
+                due = due.filter(pc.greater(due["at"], self.passed.get()[0]))
+        if len(due):
             out, until = self._folded(due.sort_by([(n, "ascending") for n in _ROWS.names]))
             if until and forget is None:
                 forget = self._half(until)
                 self.forget.update((forget,))
         if forget is not None and forget <= passed:
             forget = self._forgotten(passed)
+        if self.memory.exists():
+            self.passed.update((passed,))
+        elif self.passed.exists():
+            self.passed.clear()
         times = [*([pc.min(left["at"]).as_py()] if len(left) else []), *([] if forget is None else [forget])]
         if times:
             self._wake(min(times))
@@ -135,7 +172,7 @@ class _Processor(StatefulProcessor):
         """The rows that come out of those due, by key and time, and until when the new memories matter."""
         slots = {k: zlib.crc32(k.encode()) % SLOTS for k in due["key"].unique().to_pylist()}
         held = {n: self._slot(n) for n in set(slots.values())}
-        out, until, changed, now = [], [], set(), None
+        out, taken, until, changed, now = [], [], [], set(), None
         memory = key = None
 
         def settle() -> None:
@@ -146,17 +183,19 @@ class _Processor(StatefulProcessor):
                 if end is not None:
                     until.append(end)
 
-        for k, at, body in zip(due["key"].to_pylist(), due["at"].to_pylist(), due["body"].to_pylist(), strict=True):
+        for n, (k, at) in enumerate(zip(due["key"].to_pylist(), due["at"].to_pylist(), strict=True)):
             if k != now:
                 settle()
                 now, key, memory = k, tuple(json.loads(k)), held[slots[k]].get(k)
             memory, more = self.fold.step(key, memory, at)
             if more is not None:
-                out.append((*key, at, body, *more))
+                taken.append(n)
+                out.append((key, at, more))
         settle()
         for n in changed:
             self.memory.updateValue((n,), (json.dumps(held[n]),))
-        return out, until
+        bodies = due["body"].take(pa.array(taken, pa.int64())).to_pylist()
+        return [(*key, at, body, *more) for (key, at, more), body in zip(out, bodies, strict=True)], until
 
     def _slot(self, n: int) -> dict[str, tuple]:
         found = self.memory.getValue((n,))
@@ -204,17 +243,20 @@ def folded(df: DataFrame, keys: list[str], tie: str, fold: Fold, groups: int = G
     """The rows of a stream that the fold lets out, with what it adds, and ``event_us``, their time.
 
     df comes from with_clock(). Rows of a key are taken by ``_ts`` and then
-    ``tie``; those that are late are dropped. Keys are taken as text and dealt
+    ``tie``; those that are late are dropped, by pieces (a piece by its newest
+    row) or behind what a remembered group was folded through. Keys are taken as text and dealt
     into ``groups``; what waits of one is held by a task, so take more of them
     for streams with over some 10^8 rows within ``late``. A checkpoint is bound
     to their number. Start the query within ``rocksdb(spark)``, in append mode.
     """
+    watermark = df.schema["_ts"].metadata
     others = [c for c in df.columns if c not in (*keys, "_ts")]
     key = F.to_json(F.array(*(F.col(k).cast("string") for k in keys)))
     rows = df.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group"), key.alias("key"), "_ts", micros(F.col("_ts")).alias("at"), F.coalesce(F.col(tie).cast("string"), F.lit("")).alias("tie"), F.to_json(F.struct(*others), _JSON).alias("body")).where("at is not null")
     named = [*(f"`{k}` string" for k in keys), "at long", "body string", *([fold.added] if fold.added else [])]
     names = [*keys, "at", "body", *(x.split()[0] for x in fold.added.split(",") if x)]
-    done = rows.groupBy("_group").transformWithStateInPandas(_Processor(fold, names), ", ".join(named), "Append", "EventTime")
+    pieces = rows.mapInArrow(_pieces, _PIECES).select("_group", F.col("_ts").alias("_ts", metadata=watermark), "first", "rows")
+    done = pieces.groupBy("_group").transformWithStateInPandas(_Processor(fold, names), ", ".join(named), "Append", "EventTime")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in others)
     whole = done.withColumn("body", F.from_json("body", kinds, _JSON))
     return whole.select(*keys, *(F.col("body")[c].alias(c) for c in others), *names[len(keys) + 2 :], F.col("at").alias("event_us"))

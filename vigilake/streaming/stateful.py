@@ -20,7 +20,7 @@ from .in_order import Alerting, Crossing, First, folded, with_clock
 def threshold_crossed(df: DataFrame, key: str, ts: str, window_us: int, count: int, event_id: str = "eventID", late: str = "0 seconds") -> DataFrame:
     """(key, event_id, event_us) of the events that make it exactly ``count`` in their window. State: the last count + 1 times of a key, until its window has passed."""
     rows = df.select(F.col(key).alias("key"), F.col(event_id).cast("string").alias("event_id"), F.col(ts).alias("ts"))
-    return folded(with_clock(rows, F.col("ts"), late), ["key"], "event_id", Crossing((window_us, count))).select("key", "event_id", "event_us")
+    return folded(with_clock(rows, F.col("ts"), late).drop("ts"), ["key"], "event_id", Crossing((window_us, count))).select("key", "event_id", "event_us")
 
 
 def first_seen(df: DataFrame, *keys: str, ts: str | None = None, tie: str | None = None, late: str = "0 seconds", keep_us: int | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def dedup_events(df: DataFrame, ts: str = "eventTime", within: str = "1 day", ke
 def alerts(matches: DataFrame, period_minutes: int = PERIOD_MINUTES, ts: str = "eventTime", late: str = "0 seconds") -> DataFrame:
     """Every match with the alert it belongs to: alert_id, dedup_key, created_at, updated_at and whether it opened it. State: the open alert, per rule and dedup value, until its period is over."""
     rows = matches.select("rule_id", F.coalesce(F.nullif("dedup", F.lit("")), "title").alias("dedup"), "title", "severity", F.col(ts).alias("ts"))
-    done = folded(with_clock(rows, F.col("ts"), late), ["rule_id", "dedup"], "title", Alerting(period_minutes * 60_000_000))
+    done = folded(with_clock(rows, F.col("ts"), late).drop("ts"), ["rule_id", "dedup"], "title", Alerting(period_minutes * 60_000_000))
     return done.select(
         alert_id(F.col("rule_id"), F.col("dedup"), F.col("created")).alias("alert_id"), dedup_key(F.col("rule_id"), F.col("dedup")).alias("dedup_key"), "rule_id", "dedup", "title", "severity",
         F.timestamp_micros("created").alias("created_at"), F.timestamp_micros("event_us").alias("updated_at"), "is_new_alert",
