@@ -122,6 +122,42 @@ def test_rows_of_a_group_reach_its_state_as_one_piece_of_each_task(spark, tmp_pa
     assert 2 <= sum(map(int, open(counted))) <= 41
 
 
+def test_memories_of_a_group_are_read_at_once_and_written_once():
+    """Each request to the store costs as much as some hundred rows."""
+
+    class Store:
+        def __init__(self):
+            self.held, self.asked = {}, []
+
+        def __getattr__(self, name):
+            self.asked.append(name)
+            return {"iterator": lambda: iter(self.held.items()), "getValue": self.held.get, "updateValue": self.held.__setitem__, "removeKey": self.held.pop, "exists": lambda: bool(self.held)}[name]
+
+    class Value:
+        update = clear = lambda self, *_: None
+
+    worker = in_order._Processor(in_order.Alerting(100), ["k", "at", "body", "created", "is_new_alert"])
+    worker.memory, worker.forget = Store(), Value()
+    rows = [(f'["k{i % 200}"]', i, "", f"{i}") for i in range(1000)]
+    got = []
+    for part in (rows[:400], rows[400:700], rows[700:]):
+        held = in_order._Held(worker.memory)
+        due = pa.Table.from_pylist([dict(zip(in_order._ROWS.names, r, strict=True)) for r in part], in_order._ROWS).sort_by([(n, "ascending") for n in in_order._ROWS.names])
+        got += worker._folded(due, held)[0]
+        worker._forgotten(part[-1][1] - 50, held)
+        worker.memory.asked.clear()
+        held.write()
+        assert len(worker.memory.asked) <= in_order.SLOTS
+    assert sorted((body, created, new) for _, _, body, created, new in got) == sorted(openings([(k, t, i) for k, t, _, i in rows], 100))
+    worker.memory.asked.clear()
+    held = in_order._Held(worker.memory)
+    worker._folded(due, held)
+    worker._forgotten(10**9, held)
+    held.write()
+    assert worker.memory.asked.count("iterator") == 1 and not {"getValue", "updateValue"} & set(worker.memory.asked)
+    assert worker.memory.held == {}
+
+
 def test_pieces_hold_all_rows_of_a_group_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(in_order, "_PACK_ROWS", 100)
     rng = random.Random(5)

@@ -110,6 +110,43 @@ def _by_group(table: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([pa.array(group[start]), pa.array(at[end - 1]).cast(pa.timestamp("us", "UTC")), pa.array(at[start]), pa.array(packed, pa.binary())], ["_group", "_ts", "first", "rows"])
 
 
+class _Held:
+    """A group's memories while it is worked on: each slot is read once and written once at most, as each is a request to the store."""
+
+    def __init__(self, state):
+        self.state, self.slots, self.stored, self.changed, self.whole = state, {}, set(), set(), False
+
+    def _put(self, n: int, text: str | None) -> None:
+        self.slots[n] = {k: tuple(m) for k, m in json.loads(text).items()} if text is not None else {}
+        if text is not None:
+            self.stored.add(n)
+
+    def of(self, wanted: set[int]) -> dict[int, dict[str, tuple]]:
+        if len(wanted) > SLOTS // 4:
+            return self.all()
+        for n in wanted - set(self.slots):
+            found = self.state.getValue((n,))
+            self._put(n, None if found is None else found[0])
+        return self.slots
+
+    def all(self) -> dict[int, dict[str, tuple]]:
+        if not self.whole:
+            for (n,), (text,) in list(self.state.iterator()) if self.state.exists() else []:
+                if n not in self.slots:
+                    self._put(n, text)
+            for n in range(SLOTS):
+                self.slots.setdefault(n, {})
+            self.whole = True
+        return self.slots
+
+    def write(self) -> None:
+        for n in sorted(self.changed):
+            if self.slots[n]:
+                self.state.updateValue((n,), (json.dumps(self.slots[n]),))
+            elif n in self.stored:
+                self.state.removeKey((n,))
+
+
 class _Processor(StatefulProcessor):
     """Works on a group of keys. Its waiting rows are pieces of the list, as tasks have packed them; it has one timer, for the first row or the next memories to go."""
 
@@ -143,6 +180,7 @@ class _Processor(StatefulProcessor):
         ready = pc.less_equal(table["at"], passed)
         due, left = table.filter(ready), table.filter(pc.invert(ready))
         forget, out = self.forget.get()[0] if self.forget.exists() else None, []
+        held = _Held(self.memory)
         if len(due):
             if len(left):
                 self.waiting.put([(_packed(left),)])
@@ -152,12 +190,13 @@ class _Processor(StatefulProcessor):
                 # Spark drops a piece by its last row; what else comes behind rows that have been folded is late, too
                 due = due.filter(pc.greater(due["at"], self.passed.get()[0]))
         if len(due):
-            out, until = self._folded(due.sort_by([(n, "ascending") for n in _ROWS.names]))
+            out, until = self._folded(due.sort_by([(n, "ascending") for n in _ROWS.names]), held)
             if until and forget is None:
                 forget = self._half(until)
                 self.forget.update((forget,))
         if forget is not None and forget <= passed:
-            forget = self._forgotten(passed)
+            forget = self._forgotten(passed, held)
+        held.write()
         if self.memory.exists():
             self.passed.update((passed,))
         elif self.passed.exists():
@@ -168,17 +207,17 @@ class _Processor(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=self.names)
 
-    def _folded(self, due: pa.Table) -> tuple[list[tuple], list[int]]:
+    def _folded(self, due: pa.Table, memories: _Held) -> tuple[list[tuple], list[int]]:
         """The rows that come out of those due, by key and time, and until when the new memories matter."""
         slots = {k: zlib.crc32(k.encode()) % SLOTS for k in due["key"].unique().to_pylist()}
-        held = {n: self._slot(n) for n in set(slots.values())}
-        out, taken, until, changed, now = [], [], [], set(), None
+        held = memories.of(set(slots.values()))
+        out, taken, until, now = [], [], [], None
         memory = key = None
 
         def settle() -> None:
             if now is not None and memory is not None and memory != held[slots[now]].get(now):
                 held[slots[now]][now] = memory
-                changed.add(slots[now])
+                memories.changed.add(slots[now])
                 end = self.fold.until(key, memory)
                 if end is not None:
                     until.append(end)
@@ -192,32 +231,25 @@ class _Processor(StatefulProcessor):
                 taken.append(n)
                 out.append((key, at, more))
         settle()
-        for n in changed:
-            self.memory.updateValue((n,), (json.dumps(held[n]),))
         bodies = due["body"].take(pa.array(taken, pa.int64())).to_pylist()
         return [(*key, at, body, *more) for (key, at, more), body in zip(out, bodies, strict=True)], until
 
-    def _slot(self, n: int) -> dict[str, tuple]:
-        found = self.memory.getValue((n,))
-        return {k: tuple(m) for k, m in json.loads(found[0]).items()} if found is not None else {}
-
     @staticmethod
     def _half(until: list[int]) -> int:
         # by then about half of them can go, so each is looked at a few times
         return (min(until) + max(until)) // 2 + 1
 
-    def _forgotten(self, passed: int) -> int | None:
+    def _forgotten(self, passed: int, memories: _Held) -> int | None:
         """Drops the memories that matter no more; when to do so again."""
         until = []
-        for n in [n for (n,) in self.memory.keys()] if self.memory.exists() else []:
-            held = self._slot(n)
+        for n, held in memories.all().items():
             ends = {k: self.fold.until(tuple(json.loads(k)), m) for k, m in held.items()}
-            left = {k: m for k, m in held.items() if ends[k] is None or ends[k] >= passed}
-            until += [ends[k] for k in left if ends[k] is not None]
-            if not left:
-                self.memory.removeKey((n,))
-            elif len(left) < len(held):
-                self.memory.updateValue((n,), (json.dumps(left),))
+            gone = [k for k, end in ends.items() if end is not None and end < passed]
+            until += [end for end in ends.values() if end is not None and end >= passed]
+            for k in gone:
+                del held[k]
+            if gone:
+                memories.changed.add(n)
         if not until:
             self.forget.clear()
             return None
