@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -348,6 +349,31 @@ def test_classifier_counts_exact_ids(spark):
     assert (target == quality_classifier._counts(one, np.zeros(0, np.int64))[0]).all() and target.sum() < raw.sum()
 
 
+def test_classifier_counts_in_bounded_memory(spark, monkeypatch):
+    """A task that counts many slots holds the sums, not the slots: of 40 batches no more memory than of 4."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    batch = pa.record_batch({"doc_id": list(range(64)), "text": [" ".join(f"w{rng.randrange(9000)}" for _ in range(800)) for _ in range(64)]})
+    df = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    frame, made = type(df), []
+    mapped = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **k: made.append(f) or mapped(self, f, *a, **k))
+    quality_classifier._counts(df, np.arange(0, 64, 3))
+
+    def counted(n):
+        tracemalloc.start()
+        try:
+            blobs = [x for out in made[0](itertools.repeat(batch, n)) for x in out.column("sums").to_pylist()]
+            return tracemalloc.get_traced_memory()[1], np.concatenate([np.frombuffer(x, np.int32).reshape(2, -1) for x in blobs], axis=1)
+        finally:
+            tracemalloc.stop()
+
+    (few, once), (many, again) = counted(4), counted(40)
+    assert (again == 10 * once).all() and once[1].any()
+    assert many < 1.2 * few
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.judge(docs))
     for i, t in texts(docs):

@@ -42,6 +42,8 @@ SURE, PRIOR, TEMPERATURE = 3.0, 0.02, 1.0
 _BITS = (20, 18, 12)
 _START = np.cumsum([0, *(1 << b for b in _BITS)])
 _CHUNKS = 512
+#: Bytes of text expanded at a time, at some 50 bytes each.
+_SLICE = 1 << 17
 _MARKS = byte_class(bytes(b for b in range(256) if not (0x21 <= b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x7F)))
 
 
@@ -71,28 +73,21 @@ def _counts(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([sums[:, a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["chunk", "sums"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held, size = np.zeros((2, n), np.int32), [[], []], 0
-
-        def settle() -> None:
-            for k in (0, 1):
-                if held[k]:
-                    sums[k] += np.bincount(np.concatenate(held[k]), minlength=n).astype(np.int32)
-                    held[k].clear()
-
-        for batch in slices(batches):
+        sums, one, size = np.zeros((2, n), np.int32), np.int32(1), 0
+        for batch in slices(batches, most=_SLICE):
             found, _ = features(batch.column("text"))
-            mine = pc.is_in(batch.column("doc_id"), value_set=pa.array(known.value, pa.int64())).to_numpy(zero_copy_only=False)
+            mine = np.flatnonzero(pc.is_in(batch.column("doc_id"), value_set=pa.array(known.value, pa.int64())).to_numpy(zero_copy_only=False))
             for slots, first in found:
-                held[0].append(slots)
-                held[1] += [slots[first[k] : first[k + 1]] for k in np.flatnonzero(mine)]
+                # in place, as lists of slots and the counts of each take several times the memory of the sums
+                np.add.at(sums[0], slots, one)
+                for k in mine:
+                    np.add.at(sums[1], slots[first[k] : first[k + 1]], one)
                 size += len(slots)
             if size > 8_000_000:
-                settle()
                 size = 0
                 if sums.max() > 1 << 30:
                     yield packed(sums)
                     sums[:] = 0
-        settle()
         yield packed(sums)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +121,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=_SLICE):
             found, n_words = features(batch.column("text"))
             total = np.zeros(len(n_words))
             for slots, first in found:
